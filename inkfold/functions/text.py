@@ -22,6 +22,15 @@ HIRAGANA_TEXT_LETTERS = HIRAGANA_LETTERS[: HIRAGANA_LETTERS.index("ん") + 1]
 KATAKANA_TEXT_LETTERS = KATAKANA_LETTERS[: len(HIRAGANA_TEXT_LETTERS)]
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate an expression once and use it many times.
+
+    An expression named inside a lambda would be computed again for every element; as the element of
+    a one-element array it is a plain variable there.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- trimming and lines ------------------------------------------------------
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)[{K.SPACE}]+$", "")
@@ -33,8 +42,10 @@ def strip(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """Lines as Python's ``splitlines`` cuts them: no empty last line."""
-    parts = F.split(c, K.LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(c, K.LINE_END, -1),
+        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
+    )
 
 
 def newline_lines(c: Column) -> Column:
@@ -74,26 +85,23 @@ def _starts(pieces: Column, gap: Column | int) -> Column:
     )
 
 
+def cut_points(pieces: Column, gap: Column | int = 0) -> Column:
+    """Offsets at which a split text was cut, ``gap`` characters being lost at each cut."""
+    return let(_starts(pieces, gap), lambda ends: F.slice(ends, 1, F.size(ends) - 1))
+
+
 def find_all(text: Column, literal: Column) -> Column:
     """Starts of a literal, not overlapping, left to right."""
-    pieces = F.split(text, quote(literal), -1)
-    ends = _starts(pieces, F.char_length(literal))
-    return F.when(F.contains(text, literal), F.slice(ends, 1, F.size(ends) - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
+    cuts = cut_points(F.split(text, quote(literal), -1), F.char_length(literal))
+    return F.when(F.contains(text, literal), cuts).otherwise(F.array().cast("array<int>"))
 
 
 def find_overlapping(text: Column, literal: Column) -> Column:
     """Every start of a literal, overlapping ones too."""
-    pieces = F.split(text, F.concat(F.lit("(?="), quote(literal), F.lit(")")), -1)
-    ends = _starts(pieces, 0)
-    inner = F.slice(ends, 1, F.size(ends) - 1)
-    zero = F.array(F.lit(0))
-    return (
-        F.when(~F.contains(text, literal), F.array().cast("array<int>"))
-        .when(F.startswith(text, literal), F.concat(zero, inner))
-        .otherwise(inner)
-    )
+    ahead = F.concat(F.lit("(?="), quote(literal), F.lit(")"))
+    inner = cut_points(F.split(text, ahead, -1))
+    first = F.when(F.startswith(text, literal), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.contains(text, literal), F.concat(first, inner)).otherwise(F.array().cast("array<int>"))
 
 
 def has_border(literal: Column) -> Column:

@@ -48,11 +48,13 @@ def frontmatter_tokens(frontmatter: DataFrame) -> DataFrame:
 
 def body_lines_col(md: Column) -> Column:
     """Lines outside the frontmatter, OCR blocks, callout headers and inline-code lines, unquoted."""
-    lines = marked_lines(md)
-    fences = F.transform(lines, lambda l: l["raw"].rlike(rf"(?U)^---[{K.SPACE}]*$"))
-    closing = F.array_position(F.slice(fences, 2, F.greatest(F.size(fences), F.lit(1))), True)
-    start = F.when(F.coalesce(F.get(fences, F.lit(0)), F.lit(False)) & (closing > 0), closing + 1).otherwise(F.lit(0))
-    body = F.slice(lines, (start + 1).cast("int"), F.size(lines))
+    def after_frontmatter(lines):
+        fences = F.transform(lines, lambda l: l["raw"].rlike(rf"(?U)^---[{K.SPACE}]*$"))
+        closing = F.array_position(F.slice(fences, 2, F.greatest(F.size(fences), F.lit(1))), True)
+        start = F.when(F.coalesce(F.get(fences, F.lit(0)), F.lit(False)) & (closing > 0), closing + 1).otherwise(F.lit(0))
+        return F.slice(lines, (start + 1).cast("int"), F.size(lines))
+
+    body = T.let(marked_lines(md), after_frontmatter)
 
     def merge(acc, l):
         plain = F.when(

@@ -39,9 +39,19 @@ def _match_table(forms: DataFrame) -> DataFrame:
 
 
 def _prefixes(text: Column) -> Column:
-    chars = F.split(text, "", -1)
-    pairs = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1)))
-    return F.array_distinct(F.concat(chars, F.filter(pairs, lambda p: p.isNotNull())))
+    """Distinct letters and letter pairs of a text, in one pass over its letters."""
+    return T.let(
+        F.split(text, "", -1),
+        lambda chars: F.array_distinct(
+            F.concat(
+                chars,
+                F.zip_with(
+                    F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1),
+                    lambda a, b: F.concat(a, b),
+                ),
+            )
+        ),
+    )
 
 
 def dictionary_match(pages: DataFrame, forms: DataFrame, column: str = "clean_text",
@@ -180,9 +190,15 @@ def visible_starts_col(text: Column, findings: Column) -> Column:
 
         return F.transform(p, lambda x: F.struct(x["f"].alias("f"), visible(x).alias("starts")))
 
-    return F.filter(_let(present, finish), lambda x: F.size(x["starts"]) > 0)
+    return F.filter(T.let(present, finish), lambda x: F.size(x["starts"]) > 0)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate an expression once and use it many times: a one-element array is transformed."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def first_reports_col(findings: Column) -> Column:
+    """The first finding of every text, in order; a finding without text is dropped."""
+    return T.let(
+        findings,
+        lambda a: T.let(
+            F.transform(a, lambda f: f["suspect_span"]),
+            lambda names: F.filter(a, lambda f, i: (F.array_position(names, f["suspect_span"]) == i + 1) & (f["suspect_span"] != "")),
+        ),
+    )

@@ -80,11 +80,11 @@ def _page_hits(pages: DataFrame, column: str, rules=None) -> DataFrame:
             lambda l: F.when(L.line_status_col(l, rules) == "exclude", F.repeat(F.lit(" "), F.char_length(l))).otherwise(l),
         )
     scanned = F.array_join(lines, "\n") if rules is not None else text
-    pieces = F.split(scanned, f"(?={_TRIO_PATTERN})", -1)
-    ends = T._starts(pieces, 0)
+    # a zero-width cut before every hit; a text cannot begin with one, as a hit needs a left neighbour
+    starts = T.cut_points(F.split(scanned, f"(?={_TRIO_PATTERN})", -1))
     return (
         pages.where(text.rlike(_TRIO_PATTERN))
-        .select("note_id", "page", text.alias("_t"), F.slice(ends, 1, F.size(ends) - 1).alias("_starts"))
+        .select("note_id", "page", text.alias("_t"), starts.alias("_starts"))
         .select("note_id", "page", "_t", F.explode("_starts").alias("start"))
         .select(
             "note_id", "page", "start", (F.col("start") + 1).alias("end"),
@@ -200,11 +200,11 @@ def mismatched_particles(pages: DataFrame, style: DataFrame, column: str = "clea
         ),
         "\n",
     )
-    ends = T._starts(F.split(kept, f"(?={pattern})", -1), 0)
+    starts = T.cut_points(F.split(kept, f"(?={pattern})", -1))
     dominant = style.where(F.col("particle_script") == "katakana_dominant").select("note_id")
     return (
         pages.join(dominant, "note_id", "left_semi")
-        .select("note_id", "page", text.alias("_t"), F.explode(F.slice(ends, 1, F.size(ends) - 1)).alias("start"))
+        .select("note_id", "page", text.alias("_t"), F.explode(starts).alias("start"))
         .select(
             "note_id", "page", "start", (F.col("start") + 1).alias("end"),
             F.substring("_t", F.col("start") + 1, F.lit(1)).alias("hira"),

@@ -157,14 +157,8 @@ def findings(pages: DataFrame, config: AnalyzeConfig, forms: DataFrame | None) -
         D.grammar_col(text), D.hiragana_col(text, script), D.bigram_col(text, script),
         D.party_col(text, F.array_distinct(F.flatten(party))),
     ]
-    p = p.withColumn("_all", F.concat(*parts))
-    names = F.transform("_all", lambda f: f["suspect_span"])
-    p = p.withColumn("_names", names)
-    first = F.filter(
-        "_all", lambda f, i: (F.array_position(F.col("_names"), f["suspect_span"]) == i + 1) & (f["suspect_span"] != "")
-    )
-    p = p.withColumn("_first", first)
-    return p.withColumn("found", M.visible_starts_col(text, F.col("_first"))).drop("_all", "_names", "_first", "_low", "_dict")
+    p = p.withColumn("_first", M.first_reports_col(F.concat(*parts)))
+    return p.withColumn("found", M.visible_starts_col(text, F.col("_first"))).drop("_first", "_low", "_dict")
 
 
 def _final_candidates(s: DataFrame) -> DataFrame:
@@ -355,24 +349,32 @@ def _offer(span: Column) -> Column:
     m = F.col("region_multiplier")
     own = F.coalesce(F.col("_own"), F.array().cast(_OWN))
     live = F.filter(own, lambda o: o["in_fixed"] | (o["noun_scaled"] * m > 0))
-    names = F.transform(live, lambda o: o["term"])
-    fit = F.filter(
-        F.transform(
-            live,
+
+    def menu(live):
+        fit = F.filter(
+            F.transform(
+                live,
+                lambda o: F.struct(
+                    o["term"].alias("term"), (o["bonus_fixed"] + o["bonus_scaled"] * m).alias("score"), o["ord"].alias("ord"),
+                    (o["geo_fixed"] | (o["in_scaled"] & (o["noun_scaled"] * m > 0))).alias("geo"),
+                ),
+            ),
+            lambda o: (o["score"] >= K.STANDALONE_MIN) & ~(o["geo"] & (F.char_length(span) < 3)),
+        )
+        own_menu = F.transform(
+            fit,
             lambda o: F.struct(
-                o["term"].alias("term"), (o["bonus_fixed"] + o["bonus_scaled"] * m).alias("score"), o["ord"].alias("ord"),
-                (o["geo_fixed"] | (o["in_scaled"] & (o["noun_scaled"] * m > 0))).alias("geo"),
+                o["term"].alias("term"), F.least(o["score"], F.lit(K.STANDALONE_CAP)).alias("score"), o["ord"].alias("ord")
             ),
-        ),
-        lambda o: (o["score"] >= K.STANDALONE_MIN) & ~(o["geo"] & (F.char_length(span) < 3)),
-    )
-    own_menu = F.transform(
-        fit,
-        lambda o: F.struct(o["term"].alias("term"), F.least(o["score"], F.lit(K.STANDALONE_CAP)).alias("score"), o["ord"].alias("ord")),
-    ).cast(C.MENU)
-    rest = F.filter(F.coalesce(F.col("menu"), F.array().cast(C.MENU)), lambda x: ~F.array_contains(names, x["term"]))
-    taken = F.transform("_scored", lambda c: c["candidate"])
-    return C.offer_col(F.concat(rest, own_menu), taken)
+        ).cast(C.MENU)
+        plain = F.coalesce(F.col("menu"), F.array().cast(C.MENU))
+        rest = T.let(
+            F.transform(live, lambda o: o["term"]),
+            lambda names: F.filter(plain, lambda x: ~F.array_contains(names, x["term"])),
+        )
+        return F.concat(rest, own_menu)
+
+    return C.offer_col(T.let(live, menu), F.transform("_scored", lambda c: c["candidate"]))
 
 
 def _flags(s: DataFrame, nouns: DataFrame | None, hints: DataFrame | None, forms: DataFrame | None) -> DataFrame:
