@@ -50,7 +50,11 @@ def dictionary_match_by_shuffle(spark, sf):
     "UNION SELECT note_id, text, form FROM src JOIN first_forms ON contains(text, form))), "
     "greedy AS (SELECT note_id, s, pos, substr(text, pos + length(s)) AS rest FROM found UNION ALL SELECT note_id, s, pos + length(s) - 1 + instr(rest, s), substr(rest, instr(rest, s) + length(s)) FROM greedy WHERE instr(rest, s) > 0), "
     "longest AS (SELECT note_id, pos, max(length(s)) AS n FROM greedy GROUP BY ALL), "
-    "seen AS (SELECT g.note_id, g.s, g.pos FROM greedy g JOIN longest l ON l.note_id = g.note_id AND l.pos = g.pos WHERE l.n <= length(g.s)) "
+    # after a hidden place the scan goes on one letter later, after a visible one behind it
+    "scan AS (SELECT f.note_id, f.s, f.pos, substr(f.text, f.pos) AS rest, l.n > length(f.s) AS hidden FROM found f JOIN longest l ON l.note_id = f.note_id AND l.pos = f.pos UNION ALL "
+    "SELECT p.note_id, p.s, p.pos, p.rest, coalesce(l.n, 0) > length(p.s) FROM (SELECT note_id, s, pos + step - 1 + instr(r2, s) AS pos, substr(r2, instr(r2, s)) AS rest FROM "
+    "(SELECT note_id, s, pos, CASE WHEN hidden THEN 1 ELSE length(s) END AS step, substr(rest, CASE WHEN hidden THEN 2 ELSE length(s) + 1 END) AS r2 FROM scan) WHERE instr(r2, s) > 0) p LEFT JOIN longest l ON l.note_id = p.note_id AND l.pos = p.pos), "
+    "seen AS (SELECT note_id, s, pos FROM scan WHERE NOT hidden) "
     "SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(pos - 1) AS BIGINT) AS start_sum FROM seen WHERE NOT regexp_full_match(s, '[！？。、…・]+') GROUP BY 1",
 )
 def span_counts(spark, sf):

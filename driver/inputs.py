@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.session import spread
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KANA = "山会村論訴候ハ申ニ立人判ヲ地にノ候をはナリ所テ木ト裁"
 KATAKANA = "山会村論訴候ハ申ニりわ判ヲ地ノテよトヘナリ所立に人は"
@@ -17,8 +19,12 @@ GRAMMAR_TO = "申立候レルテ共仕地村論一〇、会人裁判ノニをは
 NL = "\n"
 
 
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # --- texts ------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkfold.functions import text as T
 from inkfold.operators import corrections as X
 from inkfold.operators import detectors as D
 from inkfold.operators import governance as G
@@ -227,14 +228,11 @@ def _hits_sql():
 
 def _edits(spark, sf):
     g = I.grammar(spark, sf)
-    pieces = F.split("text", "(?=申立(?:候|レ))", -1)
-    ends = __import__("inkfold.functions.text", fromlist=["x"])._starts(pieces, 0)
-    starts = F.filter(
-        F.transform(F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(pieces)), lambda p, i: F.struct(p.alias("start"), F.get(pieces, i).alias("piece"))),
-        lambda x: x["piece"].rlike("^申立(候|レ)"),
-    )
-    e = g.select("note_id", "page", F.posexplode(starts).alias("_k", "x")).select(
-        "note_id", "page", (F.col("_k") + 1).alias("k"), F.col("x.start").alias("start"), (F.col("x.start") + 3).alias("end"), F.substring("x.piece", 1, 3).alias("s")
+    cuts = T.cut_points(F.split("text", "(?=申立(?:候|レ))", -1))
+    first = F.when(F.col("text").rlike("^申立(候|レ)"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    e = g.select("note_id", "page", "text", F.posexplode(F.concat(first, cuts)).alias("_k", "start")).select(
+        "note_id", "page", (F.col("_k") + 1).alias("k"), "start", (F.col("start") + 3).alias("end"),
+        F.substring("text", F.col("start") + 1, F.lit(3)).alias("s"),
     )
     r = F.col("k") % 3
     return g, e.withColumn("new", F.when(r == 0, "").when(r == 1, "申立仕候共").otherwise("申")).withColumn("span_id", F.concat(F.lit("s"), F.col("k").cast("string")))

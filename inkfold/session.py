@@ -51,3 +51,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int =
     n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     small = n <= max_rows and size <= max_bytes
     return (F.broadcast(df), True) if small else (df, False)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores; a large input is left as it is.
+
+    Text work is heavy per row, so one small file is worth one small shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
