@@ -42,20 +42,24 @@ def dictionary_match_by_shuffle(spark, sf):
     return m.select("note_id", "page", "suspect_span", "seq")
 
 
+# No span holds white space, so the oracle works on tokens; what a token shows does not depend on its
+# document, because a longer span hides a shorter one only where it stands itself.
 @query(
     "span_counts",
     f"WITH RECURSIVE {I.ctes('kana', 'grammar', 'terms', 'forms')}, {_FIRST}, "
-    f"src AS (SELECT k.note_id, 1 AS page, k.text || chr(10) || g.text AS text FROM kana k JOIN grammar g USING (note_id)), "
-    f"found AS (SELECT DISTINCT note_id, s, instr(text, s) AS pos, text FROM (SELECT note_id, text, unnest(regexp_extract_all(text, '{K.SYMBOL_RUN}', 0)) AS s FROM src UNION SELECT note_id, text, unnest(regexp_extract_all(text, '{K.GRAMMAR_SCAN}', 0)) FROM src "
-    "UNION SELECT note_id, text, form FROM src JOIN first_forms ON contains(text, form))), "
-    "greedy AS (SELECT note_id, s, pos, substr(text, pos + length(s)) AS rest FROM found UNION ALL SELECT note_id, s, pos + length(s) - 1 + instr(rest, s), substr(rest, instr(rest, s) + length(s)) FROM greedy WHERE instr(rest, s) > 0), "
-    "longest AS (SELECT note_id, pos, max(length(s)) AS n FROM greedy GROUP BY ALL), "
+    "src AS (SELECT k.note_id, string_split(replace(k.text || chr(10) || g.text, chr(10), ' '), ' ') AS ts FROM kana k JOIN grammar g USING (note_id)), "
+    "tok0 AS (SELECT note_id, unnest(ts) AS token, unnest(range(0, len(ts))) AS i FROM src), "
+    "tok AS (SELECT note_id, token, coalesce(sum(length(token) + 1) OVER (PARTITION BY note_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM tok0), "
+    "dt AS (SELECT DISTINCT token FROM tok), "
+    f"found AS (SELECT token, s, instr(token, s) AS pos FROM (SELECT token, unnest(regexp_extract_all(token, '{K.GRAMMAR_SCAN}', 0)) AS s FROM dt UNION SELECT token, form FROM dt JOIN first_forms ON contains(token, form))), "
+    "greedy AS (SELECT token, s, pos, substr(token, pos + length(s)) AS rest FROM found UNION ALL SELECT token, s, pos + length(s) - 1 + instr(rest, s), substr(rest, instr(rest, s) + length(s)) FROM greedy WHERE instr(rest, s) > 0), "
+    "longest AS (SELECT token, pos, max(length(s)) AS n FROM greedy GROUP BY ALL), "
     # after a hidden place the scan goes on one letter later, after a visible one behind it
-    "scan AS (SELECT f.note_id, f.s, f.pos, substr(f.text, f.pos) AS rest, l.n > length(f.s) AS hidden FROM found f JOIN longest l ON l.note_id = f.note_id AND l.pos = f.pos UNION ALL "
-    "SELECT p.note_id, p.s, p.pos, p.rest, coalesce(l.n, 0) > length(p.s) FROM (SELECT note_id, s, pos + step - 1 + instr(r2, s) AS pos, substr(r2, instr(r2, s)) AS rest FROM "
-    "(SELECT note_id, s, pos, CASE WHEN hidden THEN 1 ELSE length(s) END AS step, substr(rest, CASE WHEN hidden THEN 2 ELSE length(s) + 1 END) AS r2 FROM scan) WHERE instr(r2, s) > 0) p LEFT JOIN longest l ON l.note_id = p.note_id AND l.pos = p.pos), "
-    "seen AS (SELECT note_id, s, pos FROM scan WHERE NOT hidden) "
-    "SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(pos - 1) AS BIGINT) AS start_sum FROM seen WHERE NOT regexp_full_match(s, '[！？。、…・]+') GROUP BY 1",
+    "scan AS (SELECT f.token, f.s, f.pos, l.n > length(f.s) AS hidden FROM found f JOIN longest l ON l.token = f.token AND l.pos = f.pos UNION ALL "
+    "SELECT p.token, p.s, p.pos, coalesce(l.n, 0) > length(p.s) FROM (SELECT token, s, frm - 1 + instr(substr(token, frm), s) AS pos FROM (SELECT token, s, CASE WHEN hidden THEN pos + 1 ELSE pos + length(s) END AS frm FROM scan) "
+    "WHERE instr(substr(token, frm), s) > 0) p LEFT JOIN longest l ON l.token = p.token AND l.pos = p.pos), "
+    "seen AS (SELECT token, s, pos FROM scan WHERE NOT hidden) "
+    "SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(start + pos - 1) AS BIGINT) AS start_sum FROM tok JOIN seen USING (token) GROUP BY 1",
 )
 def span_counts(spark, sf):
     """Flagship: detectors and vocabulary in one pass, spans located in the row, counts per document.
@@ -159,10 +163,14 @@ _BONUS = (
 )
 
 
-@query("bonus_only", f"WITH {_BASE}, {I.ctes('shapes', 'hints')}, {_CANDS}, {_BONUS} SELECT note_id, page, suspect_span, candidate, score FROM offer")
+@query("bonus_only", f"WITH {_BASE}, {I.ctes('shapes', 'hints')}, {_CANDS}, {_BONUS} SELECT note_id, page, suspect_span, string_agg(candidate, '|' ORDER BY score DESC, ord, candidate) AS offered, min(score) AS least FROM offer GROUP BY ALL")
 def bonus_only(spark, sf):
     s, scored = _scored(spark, sf)
-    return C.bonus_only(s, scored, I.hints(spark, sf)).select("note_id", "page", "suspect_span", "candidate", "score")
+    offer = C.bonus_only(s, scored, I.hints(spark, sf))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", "candidate")))
+    return offer.groupBy("note_id", "page", "suspect_span").agg(
+        F.array_join(F.transform(best, lambda x: x["candidate"]), "|").alias("offered"), F.min("score").alias("least")
+    )
 
 
 _RANKED = (

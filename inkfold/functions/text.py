@@ -67,7 +67,7 @@ def quote(c: Column) -> Column:
 def count_literal(text: Column, literal: Column) -> Column:
     """Occurrences of a literal, not overlapping, left to right."""
     removed = F.char_length(text) - F.char_length(F.replace(text, literal, F.lit("")))
-    return (removed / F.char_length(literal)).cast("int")
+    return F.try_divide(removed, F.char_length(literal)).cast("int")
 
 
 def _starts(pieces: Column, gap: Column | int) -> Column:

@@ -303,8 +303,8 @@ def doc_type_col(text: Column, document_type: Column, era: Column) -> Column:
     n = F.char_length(text)
     kata = F.regexp_count(text, F.lit(r"[\x{30A0}-\x{30FF}]"))
     hira = F.regexp_count(text, F.lit(r"[\x{3041}-\x{309F}]"))
-    kata_ratio = kata / n
-    kana_ratio = F.when(kata + hira > 0, kata / (kata + hira)).otherwise(F.lit(0.5))
+    kata_ratio = kata / F.greatest(n, F.lit(1))
+    kana_ratio = F.coalesce(F.try_divide(kata, kata + hira), F.lit(0.5))
     per = F.greatest(n / 100, F.lit(1.0))
     classical = F.regexp_count(text, F.lit(K.CLASSICAL_MARKS)) / per
     modern = F.regexp_count(text, F.lit(K.MODERN_MARKS)) / per
