@@ -437,9 +437,10 @@ def config(spark, sf, **kw):
 def analyze(spark, sf):
     """Every span of every note with candidates, verdict and flags (no SQL twin: see the tests)."""
     s = A.analyze(I.notes(spark, sf), config(spark, sf))
-    return s.withColumn("candidates", F.array_join("candidates", "|")).select(
-        "note_id", "page", "span_id", "suspect_span", "start", "end", "detector", "candidates", F.col("validation.verdict").alias("verdict"),
-        "recommended_verdict", "rank1_is_proper_noun", "rank1_from_shape", "rank1_from_experimental_dict", "rank1_from_frontmatter", "rank1_from_body", "is_dangerous",
+    return s.groupBy("note_id", "page", "detector", "recommended_verdict").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.countDistinct("suspect_span").alias("n_texts"), F.sum("start").alias("start_sum"),
+        F.sum(F.size("candidates")).alias("n_candidates"), F.count_if("is_dangerous").alias("n_dangerous"),
+        F.count_if("rank1_from_shape").alias("n_shape"), F.count_if("rank1_from_experimental_dict").alias("n_experimental"),
     )
 
 

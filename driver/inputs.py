@@ -108,9 +108,9 @@ def is_kk(col: str) -> str:
 
 
 # --- notes -------------------------------------------------------------------------
-def notes(spark, sf_dir) -> DataFrame:
+def notes(spark, sf_dir, texts=kana) -> DataFrame:
     """Documents as Markdown notes: frontmatter, body, a page with an OCR block, a page without one."""
-    k = kana(spark, sf_dir)
+    k = texts(spark, sf_dir)
     md = F.concat(
         F.lit("---\nid: D"), F.col("note_id").cast("string"), F.lit("\nregion: 尾張\nperson: '[[人/👤田中"), "lang", F.lit("]]・山田一郎'\nplaintiff: [村山人民, 山会村論]\ntags: [古文]\n---\n"),
         F.lit("# 題\n本文 [[記録/"), "lang", F.lit("会.md|控訴"), "lang", F.lit("]] の件、入会［原告］"), "source", F.lit("\n"),

@@ -228,21 +228,22 @@ def strip_wikilink(spark, sf):
 @query("replay_corrections")
 def replay_corrections(spark, sf):
     """Replay of corrections taken from an analysis of the same notes (checked in the tests)."""
-    from .candidate_queries import config
-
-    n = I.notes(spark, sf).withColumn("note_id", F.col("note_id").cast("string"))
-    cfg = config(spark, sf)
-    s = A.analyze(n, A.AnalyzeConfig(terms=cfg.terms, use_frontmatter=False, use_body=False))
+    n = I.notes(spark, sf, I.grammar).withColumn("note_id", F.col("note_id").cast("string"))
+    cfg = A.AnalyzeConfig(use_frontmatter=False, use_body=False)
+    s = A.analyze(n, cfg)
     rows = s.select(
         F.col("note_id").alias("doc_id"), "page", F.col("page").alias("save_page"), "span_id", "occurrence_index", "suspect_span",
         F.get("candidates", F.lit(0)).alias("selected_candidate"), F.lit("single").alias("correction_mode"), F.col("start").alias("ord"),
     )
-    return R.replay_corrections(n, rows, A.AnalyzeConfig(terms=cfg.terms, use_body=False))
+    return R.replay_corrections(n, rows, cfg)
 
 
 @query("evaluate_summary")
 def evaluate_summary(spark, sf):
-    """Proper-noun events by region over whole notes."""
-    from .candidate_queries import config
+    """Proper-noun events by region over whole notes (checked in the tests)."""
+    from inkfold.sources import dictionaries as SD
+
+    from .candidate_queries import NOUN_LISTS
 
-    return R.evaluate(I.notes(spark, sf), config(spark, sf))["summary"]
+    cfg = A.AnalyzeConfig(proper_nouns=SD.proper_nouns_from(spark, NOUN_LISTS))
+    return R.evaluate(I.notes(spark, sf, I.grammar), cfg)["summary"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,7 +93,11 @@ def page_profile(notes: DataFrame, config: AnalyzeConfig) -> DataFrame:
 
 
 def note_hints(notes: DataFrame, config: AnalyzeConfig) -> DataFrame | None:
-    """Hints of each note: note_id, term, fixed, scaled, ord, sources."""
+    """Hints of each note: note_id, region, term, fixed, scaled, ord, sources.
+
+    Kept by the executors (memory, then disk): four joins read it, and parsing the notes is the
+    dear part.  What a lost executor held is computed again.
+    """
     if not (config.use_frontmatter or config.use_body):
         return None
     spark = notes.sparkSession
@@ -114,7 +119,9 @@ def note_hints(notes: DataFrame, config: AnalyzeConfig) -> DataFrame | None:
         regions = empty_tokens.select("note_id", F.col("token").alias("region"))
         fm_tokens = empty_tokens
     body = H.body_tokens(notes) if config.use_body else empty_tokens
-    return H.hint_sum(H.contributions(meta, regions, fm_tokens, body))
+    summed = H.hint_sum(H.contributions(meta, regions, fm_tokens, body))
+    with_region = summed.join(regions, "note_id", "left").withColumn("region", F.coalesce("region", F.lit("")))
+    return with_region.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def findings(pages: DataFrame, config: AnalyzeConfig, forms: DataFrame | None) -> DataFrame:
@@ -241,8 +248,9 @@ def analyze_pages(pages: DataFrame, hints: DataFrame | None, config: AnalyzeConf
 
     nouns = None
     if config.proper_nouns is not None:
-        table = H.nouns_by_region(config.proper_nouns)
-        nouns = H.nouns_at(table)
+        # small tables, bounded by the noun lists and the known regions, read by several joins
+        table = H.nouns_by_region(config.proper_nouns).persist(StorageLevel.MEMORY_AND_DISK)
+        nouns = H.nouns_at(table).persist(StorageLevel.MEMORY_AND_DISK)
         known = H.known_regions(config.proper_nouns).select("region", F.lit(True).alias("_known"))
         spans = spans.join(known, "region", "left").withColumn(
             "noun_region", F.when(F.col("_known"), F.col("region")).otherwise(H.OTHER_REGION)
@@ -325,9 +333,13 @@ def _with_note_menu(spans: DataFrame, hints: DataFrame, table: DataFrame) -> Dat
         F.col("region").alias("noun_region"), "term", F.col("fixed").alias("_nf"), F.col("scaled").alias("_ns"),
         "in_fixed", "in_scaled", "geo_fixed", F.col("ord").alias("_no"),
     )
-    regions = spans.select("note_id", "noun_region").distinct()
     terms = t.select("term").distinct()
-    own = hints.join(terms, "term", "left_semi").join(regions, "note_id").join(t, ["noun_region", "term"])
+    regions = t.select(F.col("noun_region").alias("region"), F.lit(True).alias("_known")).distinct()
+    own = (
+        hints.join(terms, "term", "left_semi").join(regions, "region", "left")
+        .withColumn("noun_region", F.when(F.col("_known"), F.col("region")).otherwise(H.OTHER_REGION))
+        .join(t, ["noun_region", "term"])
+    )
     n = F.char_length("term")
     # metadata and alias terms come before the noun lists, other tokens after them
     order = F.when(F.col("ord") < 2 * 10**15, F.col("ord") - 2 * 10**15).otherwise(F.col("_no").cast("bigint"))
