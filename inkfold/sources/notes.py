@@ -35,7 +35,7 @@ def _allowed(rel: Column) -> Column:
 def scan_notes(spark: SparkSession, root: str) -> DataFrame:
     """Markdown notes below a folder: note_id and path (relative, no suffix, NFC), name, md."""
     raw = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
         .select(F.col("value").alias("md"), _relative(F.col("_metadata.file_path"), root).alias("rel"))
         .where(_allowed(F.col("rel")))
     )
@@ -206,7 +206,7 @@ def page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
 # --- OCR confidence trees ----------------------------------------------------------
 def scan_ocr_json(spark: SparkSession, root: str) -> DataFrame:
     """Sidecar trees: name (file stem), json (text)."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     rel = _relative(F.col("_metadata.file_path"), root)
     return raw.select(rel.alias("rel"), F.col("value").alias("json")).where(_allowed(F.col("rel"))).select(
         T.nfc(F.regexp_replace(F.substring_index("rel", "/", -1), r"\.json$", "")).alias("name"), "json"
