@@ -59,4 +59,4 @@ def spread(df: DataFrame) -> DataFrame:
     Text work is heavy per row, so one small file is worth one small shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
