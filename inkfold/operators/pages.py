@@ -210,19 +210,19 @@ def ocr_blocks_col(md: Column) -> Column:
 
 def splice_lines(lines: Column, edits: Column) -> Column:
     """Replace line ranges: ``edits`` is array of struct(start, end, new array), sorted, disjoint."""
-    n = F.size(edits)
+    def rebuilt(v):
+        old, e, n = v["l"], v["e"], F.size(v["e"])
 
-    def before(i):
-        return F.when(i == 0, F.lit(0)).otherwise(F.get(edits, i - 1)["end"])
+        def before(i):
+            return F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1)["end"])
 
-    pieces = F.flatten(
-        F.transform(
-            edits,
-            lambda e, i: F.concat(F.slice(lines, before(i) + 1, e["start"] - before(i)), e["new"]),
+        pieces = F.flatten(
+            F.transform(e, lambda x, i: F.concat(F.slice(old, before(i) + 1, x["start"] - before(i)), x["new"]))
         )
-    )
-    done = F.when(n == 0, F.lit(0)).otherwise(F.get(edits, n - 1)["end"])
-    return F.concat(pieces, F.slice(lines, done + 1, F.size(lines)))
+        done = F.when(n == 0, F.lit(0)).otherwise(F.get(e, n - 1)["end"])
+        return F.concat(pieces, F.slice(old, done + 1, F.size(old)))
+
+    return T.let(F.struct(lines.alias("l"), edits.alias("e")), rebuilt)
 
 
 def _quoted(lines: Column) -> Column:
@@ -231,32 +231,40 @@ def _quoted(lines: Column) -> Column:
 
 def split_over_blocks(blocks: Column, lines: Column) -> Column:
     """Share new lines over blocks in proportion to their old size; the last block takes the rest."""
-    total_new = F.size(lines)
     total_old = F.aggregate(blocks, F.lit(0), lambda a, b: a + b["n"])
-    total_old = F.when(total_old == 0, F.lit(1)).otherwise(total_old)
-    counts = F.transform(
-        blocks, lambda b: F.greatest(F.lit(1), F.bround(b["n"] / total_old * total_new, 0).cast("int"))
-    )
-    froms = F.aggregate(
-        counts,
-        F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("a")),
-        lambda acc, c: F.struct((acc["p"] + c).alias("p"), F.array_append(acc["a"], acc["p"]).alias("a")),
-        lambda acc: acc["a"],
-    )
-    last = F.size(blocks) - 1
-    return F.transform(
-        froms,
-        lambda f, i: F.slice(lines, f + 1, F.when(i == last, F.size(lines)).otherwise(F.get(counts, i))),
-    )
+
+    def shared(v):
+        new, old = v["new"], F.greatest(v["old"], F.lit(1))
+        counts = F.transform(
+            blocks, lambda b: F.greatest(F.lit(1), F.bround(b["n"] / old * F.size(new), 0).cast("int"))
+        )
+        froms = F.aggregate(
+            counts,
+            F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<f:int,n:int>>").alias("a")),
+            lambda acc, c: F.struct(
+                (acc["p"] + c).alias("p"), F.array_append(acc["a"], F.struct(acc["p"].alias("f"), c.alias("n"))).alias("a")
+            ),
+            lambda acc: acc["a"],
+        )
+        last = F.size(blocks) - 1
+        return F.transform(
+            froms,
+            lambda x, i: F.slice(new, x["f"] + 1, F.when(i == last, F.size(new)).otherwise(x["n"])),
+        )
+
+    return T.let(F.struct(lines.alias("new"), total_old.alias("old")), shared)
 
 
 def _range_edits(blocks: Column, assigned: Column) -> Column:
-    return F.transform(
-        blocks,
-        lambda b, i: F.struct(
-            (b["header"] + 1).alias("start"),
-            (b["header"] + 1 + b["n"]).alias("end"),
-            _quoted(F.get(assigned, i)).alias("new"),
+    return T.let(
+        assigned,
+        lambda parts: F.transform(
+            blocks,
+            lambda b, i: F.struct(
+                (b["header"] + 1).alias("start"),
+                (b["header"] + 1 + b["n"]).alias("end"),
+                _quoted(F.get(parts, i)).alias("new"),
+            ),
         ),
     )
 
