@@ -1,8 +1,10 @@
-"""Session settings and the two helpers that depend on the session."""
+"""Session settings and the helpers that depend on the session."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,17 +30,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-        return shared
-    if spark.sparkContext.master.startswith("local"):
-        local = tempfile.mkdtemp(prefix="inkfold-ckpt-")
-        spark.sparkContext.setCheckpointDir(local)
-        return local
-    raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of the session, once; they need no path of the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_inkfold_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    file = os.path.join(tempfile.mkdtemp(prefix="inkfold-"), "inkfold.zip")
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(file)
+    context._inkfold_shipped = True
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
