@@ -37,3 +37,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkfold.llm import packing, units
 
     return packing.pack(table(spark, sf_dir, "documents"), units.tokenizer_path("word_bpe_49k.json"), 1, 4096)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and near-duplicate components of all documents."""
+    from inkfold.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 35-word windows that stand elsewhere too."""
+    from inkfold.llm import substring_dedup
+
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 35).drop("kept")
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents."""
+    from inkfold.llm import decontaminate
+
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
