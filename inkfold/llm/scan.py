@@ -213,3 +213,15 @@ def map_text(df, per_slice, schema, *, keep: list[str], text: str = "text"):
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, *made])
 
     return df.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def filter_text(df, keep, text: str = "text"):
+    """The rows of ``df`` for which ``keep(bytes, offsets)`` is true, with all columns."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in slices(batch.column(at)):
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep(data, offs)))
+
+    return df.mapInArrow(run, df.schema)

@@ -16,7 +16,7 @@ import numpy as np
 from inkfold.llm import scan
 
 #: Forget the units of a process beyond this number.
-UNITS = 2_000_000
+UNITS = 1_200_000
 
 GRAPH = scan.byte_set((0x21, 0x7E))
 ASCII_ALNUM = scan.byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
