@@ -79,3 +79,29 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+OP4_SQL = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS i, len(parts) AS n FROM split),
+hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) % 1000003 AS h FROM lines),
+ended AS (SELECT *, CAST((h + 31 * lag(h, 1, 0) OVER w + 961 * lag(h, 2, 0) OVER w) % 1000003 % 4 = 0 OR (i + 1) % 64 = 0 OR i + 1 = n AS INTEGER) AS e
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended),
+chunks AS (SELECT doc_id, k, min(i) AS f, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k),
+placed AS (SELECT *, size >= 2 AND row_number() OVER (PARTITION BY body, size >= 2 ORDER BY doc_id, f) > 1 AS gone FROM chunks)
+SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY f) FILTER (WHERE NOT gone), '') AS text, CAST(sum(size) AS BIGINT) AS n_lines,
+  CAST(coalesce(sum(size) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed
+FROM placed GROUP BY doc_id
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the multi-line chunks that stand elsewhere before."""
+    from pyspark.sql import functions as F
+
+    from inkfold.llm import line_dedup
+
+    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.col(line_dedup.N_LINES).alias("n_lines"), F.col(line_dedup.N_REMOVED).alias("n_removed"))
