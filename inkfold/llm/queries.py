@@ -105,3 +105,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = line_dedup.repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.col(line_dedup.N_LINES).alias("n_lines"), F.col(line_dedup.N_REMOVED).alias("n_removed"))
+
+
+@query("op8_imatch")
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their edited texts."""
+    from inkfold.llm import imatch
+
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
