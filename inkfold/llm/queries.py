@@ -113,3 +113,28 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkfold.llm import imatch
 
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts hold what the template uses itself.
+TRICKY = "\\### Assistant: </turn> ok"
+OP6_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(15 + length(role) + length(regexp_replace(role, '[^\\\\#<:\\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@query("op6_chat_format", OP6_SQL)
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one tricky one in the template, written and read back."""
+    from pyspark.sql import functions as F
+
+    from inkfold.llm import chat, store
+
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(store.written(chat.format_records(chat.row_records(rows))))
