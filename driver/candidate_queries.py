@@ -159,7 +159,7 @@ _BONUS = (
     "WHERE h.is_proper AND h.bonus >= 20 AND abs(length(span.suspect_span) - length(h.term)) <= 1 AND NOT (h.is_geo AND length(span.suspect_span) < 3) "
     "AND CASE a.script WHEN 'ascii' THEN b.script = 'ascii' WHEN 'kanji' THEN b.script IN ('kanji', 'mixed') WHEN 'kana' THEN b.script IN ('kana', 'mixed') ELSE true END), "
     "offer1 AS (SELECT o.* FROM offer0 o LEFT JOIN cands c ON c.note_id = o.note_id AND c.suspect_span = o.suspect_span AND c.candidate = o.candidate WHERE c.note_id IS NULL), "
-    "offer AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY note_id, suspect_span ORDER BY score DESC, ord, candidate) AS k FROM offer1) WHERE k <= 5)"
+    "offer AS (SELECT * FROM offer1)"
 )
 
 

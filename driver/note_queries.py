@@ -124,8 +124,7 @@ def frontmatter_tokens(spark, sf):
 )
 def body_tokens(spark, sf):
     k = I.notes(spark, sf)
-    # image links read as wikilinks; the two image lines are told apart by their page names
-    t = H.body_tokens(k).where(~F.col("token").rlike("^(!|p[12]_)"))
+    t = H.body_tokens(k)
     return t.select("note_id", "token", F.array_join("sources", ",").alias("sources"))
 
 
@@ -174,16 +173,25 @@ def resolve_images(spark, sf):
     return N.resolve_images(n, _images(spark, sf), N.frontmatter_rows(n))
 
 
+_PATH = "'d/' || lang || '/n' || doc_id"
+
+
 @query(
     "find_notes",
-    "WITH q AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN 'D' || doc_id WHEN 1 THEN 'n' || doc_id WHEN 2 THEN 'd/' || lang || '/n' || doc_id WHEN 3 THEN 'd/' || lang || '/n' || doc_id || '.md' ELSE 'nothing' || doc_id END AS query FROM documents) "
-    "SELECT query, CASE WHEN doc_id % 5 < 4 THEN doc_id END AS note_id, CAST(CASE doc_id % 5 WHEN 4 THEN NULL ELSE doc_id % 5 + 1 END AS INTEGER) AS rule FROM q",
+    f"WITH n AS (SELECT doc_id, {_PATH} AS path, 'n' || doc_id AS name FROM documents), "
+    "q AS (SELECT doc_id, doc_id % 7 AS k, CASE doc_id % 7 WHEN 0 THEN 'D' || doc_id WHEN 1 THEN 'n' || doc_id WHEN 2 THEN 'd/' || lang || '/n' || doc_id WHEN 3 THEN 'd/' || lang || '/n' || doc_id || '.md' "
+    "WHEN 4 THEN CAST(doc_id AS VARCHAR) WHEN 5 THEN lang || '/n' || doc_id || '.md' ELSE 'nothing' || doc_id END AS query FROM documents), "
+    "part AS (SELECT q.query, arg_min(n.doc_id, (n.path, n.doc_id)) AS note_id FROM q JOIN n ON CASE k WHEN 4 THEN contains(n.name, q.query) WHEN 5 THEN contains(n.path, replace(q.query, '.md', '')) ELSE false END GROUP BY 1) "
+    "SELECT query, CASE WHEN k < 4 THEN doc_id ELSE part.note_id END AS note_id, CAST(CASE k WHEN 6 THEN NULL ELSE k + 1 END AS INTEGER) AS rule FROM q LEFT JOIN part USING (query)",
 )
 def find_notes(spark, sf):
+    """Queries by id, name, path, path with ending, part of a name (4) and part of a path (5)."""
     n = I.notes(spark, sf)
-    i, k = F.col("note_id").cast("string"), F.col("note_id") % 5
+    i, k = F.col("note_id").cast("string"), F.col("note_id") % 7
+    lang_path = F.concat("lang", F.lit("/n"), i, F.lit(".md"))
     q = n.select(
-        F.when(k == 0, F.concat(F.lit("D"), i)).when(k == 1, F.concat(F.lit("n"), i)).when(k == 2, F.col("path")).when(k == 3, F.concat("path", F.lit(".md"))).otherwise(F.concat(F.lit("nothing"), i)).alias("query")
+        F.when(k == 0, F.concat(F.lit("D"), i)).when(k == 1, F.concat(F.lit("n"), i)).when(k == 2, F.col("path")).when(k == 3, F.concat("path", F.lit(".md")))
+        .when(k == 4, i).when(k == 5, lang_path).otherwise(F.concat(F.lit("nothing"), i)).alias("query")
     )
     return N.find_notes(n, q, N.frontmatter_rows(n)).select("query", "note_id", "rule")
 

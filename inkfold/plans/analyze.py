@@ -386,7 +386,7 @@ def _offer(span: Column) -> Column:
         )
         return F.concat(rest, own_menu)
 
-    return C.offer_col(T.let(live, menu), F.transform("_scored", lambda c: c["candidate"]))
+    return C.offer_col(T.let(live, menu), F.transform("_scored", lambda c: c["candidate"]), K.TOP_K)
 
 
 def _flags(s: DataFrame, nouns: DataFrame | None, hints: DataFrame | None, forms: DataFrame | None) -> DataFrame:

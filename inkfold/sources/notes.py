@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
+import pyarrow as pa
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -73,18 +77,6 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 # --- frontmatter ---------------------------------------------------------------
 def _parse_block(block: str) -> dict:
     """One YAML map; anything else, or an error, counts as empty."""
-    try:
-        import yaml
-    except ImportError:  # plain "key: value" and "- item" lines only
-        out: dict = {}
-        key = None
-        for line in block.splitlines():
-            if line.startswith("- ") and key:
-                out[key] = (out[key] if isinstance(out[key], list) else []) + [line[2:].strip().strip("'\"")]
-            elif ":" in line and not line.startswith((" ", "#")):
-                key, value = line.split(":", 1)
-                out[key] = value.strip().strip("'\"")
-        return out
     try:
         data = yaml.safe_load(block)
     except Exception:
@@ -127,8 +119,8 @@ def frontmatter_rows(notes: DataFrame, fence: str = "line") -> DataFrame:
 def find_notes(notes: DataFrame, queries: DataFrame, frontmatter: DataFrame | None = None) -> DataFrame:
     """Best note per query (query): id, name, path, path without .md, part of name, part of path.
 
-    The exact rules are equi joins.  Only queries they leave open are searched as substrings, in one
-    pass over the notes that keeps the least path per query.
+    The exact rules are equi joins.  Queries they leave open are met by their rarest three-letter piece; the
+    least path per query is kept.
     """
     q = queries.select("query", T.nfc(F.col("query")).alias("_q"))
     n = notes.select("note_id", "path", "name")
@@ -143,15 +135,39 @@ def find_notes(notes: DataFrame, queries: DataFrame, frontmatter: DataFrame | No
     pick = F.min(F.struct("rule", "path", "note_id")).alias("b")
     hit = q.join(exact, "_q").groupBy("query").agg(pick)
     open_q = q.join(hit.select("query"), "query", "left_anti").withColumn("_bare", F.regexp_replace("_q", r"\.md$", ""))
-    part = (
-        n.join(open_q, F.contains("path", "_bare") | F.contains("name", "_q"))
-        .withColumn("rule", F.when(F.contains("name", "_q"), 5).otherwise(6))
-        .groupBy("query").agg(pick)
-    )
+    part = _parts_of(n, open_q.select("query", F.col("_q").alias("_s")), "name", 5).unionByName(
+        _parts_of(n, open_q.select("query", F.col("_bare").alias("_s")), "path", 6)
+    ).groupBy("query").agg(pick)
     found = hit.unionByName(part).select("query", "b.note_id", "b.path", "b.rule")
     return queries.select("query").distinct().join(found, "query", "left")
 
 
+def _pieces(text, size: int):
+    """Distinct runs of ``size`` letters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def _parts_of(notes: DataFrame, queries: DataFrame, column: str, rule: int, size: int = 3) -> DataFrame:
+    """Notes whose ``column`` holds the query text ``_s``: query, rule, path, note_id.
+
+    Both sides are cut into pieces of ``size`` letters. A query is joined on its rarest piece alone, and what
+    that finds is compared as a whole. Shorter queries are joined on pieces of their own length; an empty one is
+    part of every note, of which only the first can win.
+    """
+    first = notes.agg(F.min(F.struct("path", "note_id")).alias("m")).withColumn("_s", F.lit(""))
+    out = queries.join(first, "_s").select("query", F.lit(rule).alias("rule"), "m.path", "m.note_id")
+    for n in range(1, size + 1):
+        long = F.char_length("_s")
+        asked = queries.where(long >= n if n == size else long == n)
+        made = notes.where(F.char_length(column) >= n).select("note_id", "path", F.col(column).alias("_c"), F.explode(_pieces(F.col(column), n)).alias("piece"))
+        common = made.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+        cut = asked.select("query", "_s", F.explode(_pieces(F.col("_s"), n)).alias("piece")).join(common, "piece", "left")
+        rarest = cut.groupBy("query", "_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).select("query", "_s", F.col("r.piece").alias("piece"))
+        met = rarest.join(made, "piece").where(F.contains("_c", "_s"))
+        out = out.unionByName(met.select("query", F.lit(rule).alias("rule"), "path", "note_id"))
+    return out
+
+
 def image_links(notes: DataFrame) -> DataFrame:
     """Every image link of the notes, several per line too: note_id, ord, link."""
     whole = F.regexp_extract_all("md", F.lit(K.IMAGE_LINK), F.lit(1))
@@ -213,35 +229,73 @@ def scan_ocr_json(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def ocr_chars(trees: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Every object of a tree holding text and confidence: note_id, ord, text, confidence.
+_TOKEN = re.compile(r'[\s,:]*(?:([{}\[\]])|("(?:[^"\\]|\\.)*")|([^\s,:{}\[\]"]+)|$)', re.S)
+
 
-    The tree is walked with a recursive query: each level explodes the children of the level above,
-    and the walk ends by itself when a level is empty.  A branch deeper than ``max_depth`` is an
-    error, never a silent cut.
+def _tree_events(raw: str):
+    """Opening and closing marks and scalars of a JSON text, in its order; no depth is too deep."""
+    at = 0
+    while at < len(raw):
+        m = _TOKEN.match(raw, at)
+        if m is None or m.end() == at:
+            return
+        at = m.end()
+        if m[1]:
+            yield m[1], None
+        elif m[2] or m[3]:
+            yield "", json.loads(m[2] or m[3], strict=False)
+
+
+def _texts_of_tree(raw: str | None) -> list[tuple[str, float]]:
+    """(text, confidence) of every object that holds both, an object before its children, keys as written."""
+    out: list[list] = []
+    stack: list[dict] = []
+    try:
+        for mark, value in _tree_events(raw or ""):
+            if mark in ("{", "["):
+                if stack:
+                    stack[-1]["key"] = None
+                # an object's place is taken when it opens; it is filled when it closes
+                out.append([None, None])
+                stack.append({"map": mark == "{", "key": None, "at": len(out) - 1})
+            elif mark:
+                stack.pop()
+            elif stack and stack[-1]["map"]:
+                top = stack[-1]
+                if top["key"] is None:
+                    top["key"] = value
+                else:
+                    if top["key"] in ("text", "confidence"):
+                        out[top["at"]][top["key"] == "confidence"] = value
+                    top["key"] = None
+    except (ValueError, IndexError):
+        return []  # not a tree
+    if stack:
+        return []
+    return [(t, float(c)) for t, c in out if isinstance(t, str) and isinstance(c, int | float) and not isinstance(c, bool)]
+
+
+def ocr_chars(trees: DataFrame) -> DataFrame:
+    """Every object of a tree (note_id, json) holding text and confidence: note_id, ord, text, confidence.
+
+    A tree is read from its first to its last token with a stack of open objects, so neither its depth nor its
+    number of objects is bounded. Objects come in the order in which they open; a text that is no tree gives none.
     """
-    spark = trees.sparkSession
-    view = "_inkfold_ocr_trees"
-    trees.select("note_id", F.try_parse_json("json").alias("v")).createOrReplaceTempView(view)
-    walked = spark.sql(
-        f"""
-        WITH RECURSIVE walk(note_id, v, path, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT note_id, v, cast('' AS string), 0 FROM {view} WHERE v IS NOT NULL
-          UNION ALL
-          SELECT w.note_id, c.value, concat(w.path, lpad(cast(c.pos AS string), 7, '0'), '/'),
-                 if(w.depth >= {max_depth}, raise_error('OCR tree too deep'), w.depth + 1)
-          FROM walk w, LATERAL variant_explode(w.v) c
-          WHERE schema_of_variant(w.v) LIKE 'ARRAY<%' OR schema_of_variant(w.v) LIKE 'OBJECT<%'
-        )
-        SELECT note_id, path, v FROM walk
-        """
-    )
-    text = F.try_variant_get("v", "$.text", "string")
-    conf = F.try_variant_get("v", "$.confidence", "double")
-    found = walked.where(F.schema_of_variant("v").like("OBJECT<%")).select("note_id", "path", text.alias("text"), conf.alias("confidence"))
-    found = found.where(F.col("text").isNotNull() & F.col("confidence").isNotNull())
-    w = W.partitionBy("note_id").orderBy("path")
-    return found.withColumn("ord", F.row_number().over(w) - 1).select("note_id", "ord", "text", "confidence")
+    kind = trees.schema["note_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            rows, order, texts, scores = [], [], [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                for k, (text, score) in enumerate(_texts_of_tree(raw)):
+                    rows.append(i)
+                    order.append(k)
+                    texts.append(text)
+                    scores.append(score)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(order, pa.int32()), pa.array(texts, pa.string()), pa.array(scores, pa.float64())], ["note_id", "ord", "text", "confidence"])
+
+    return trees.select("note_id", "json").mapInArrow(run, f"note_id {kind}, ord int, text string, confidence double")
 
 
 # --- change detection ------------------------------------------------------------
