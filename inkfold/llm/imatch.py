@@ -140,13 +140,14 @@ def _neighbours(sent):
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches):
-        ids, texts, room, closed = [], [], 0, False
+        ids, texts, room, closed, head = [], [], 0, False, None
         for batch in batches:
             for doc, text, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if guest and closed:  # rows of equal doc_id at a bucket's edge: the first is the neighbour
                     continue
                 if closed:
-                    ids, texts, room, closed = [], [], 0, False
+                    ids, texts, room, closed, head = [], [], 0, False, None
+                head = head or (doc, text or "")
                 ids.append(doc)
                 texts.append(text or "")
                 room += len(texts[-1])
@@ -154,6 +155,8 @@ def _neighbours(sent):
                     if len(ids) > 1:
                         yield results(ids, texts)
                     ids, texts, room, closed = ids[-1:], texts[-1:], len(texts[-1]), bool(guest)
+        if ids and not closed:  # no doc_id at all: one range without a neighbour, whose last row is followed by its first
+            yield results([*ids, head[0]], [*texts, head[1]])
 
     return run
 

@@ -1,8 +1,8 @@
 """Removal of repeated line chunks with content-defined boundaries.
 
 A line's hash is the first 60 bits of its MD5. A rolling hash over ``SPAN`` line hashes ends a chunk where it is
-divisible by ``DIVISOR``, and every ``LONGEST`` lines of a document a chunk ends anyway; so boundaries depend on
-nearby lines only and come back after an insertion. Chunks of two lines and more that stand more than
+divisible by ``DIVISOR``, and every ``LONGEST`` lines behind such a place a chunk ends anyway; so boundaries depend
+on nearby lines only and come back after an insertion. Chunks of two lines and more that stand more than
 once in the corpus are kept at their first place (smallest doc_id, then smallest line) and removed elsewhere.
 
 Chunks are first counted by a 128-bit hash, without their texts. Those counted twice or more are compared
@@ -39,11 +39,14 @@ def line_hashes(lines: list[bytes]) -> list[int]:
 def chunk_edges(hashes: list[int]) -> list[int]:
     """Where chunks begin, and the number of lines."""
     small = [h % MODULUS for h in hashes]
-    edges = [0]
+    edges, since = [0], 0  # since: behind the last boundary that the rolling hash chose
     for i in range(len(small)):
         rolling = sum(f * small[i - j] for j, f in enumerate(FACTORS) if i - j >= 0)
-        if (rolling % MODULUS) % DIVISOR == 0 or (i + 1) % LONGEST == 0 or i + 1 == len(small):
+        chosen = (rolling % MODULUS) % DIVISOR == 0
+        if chosen or (i + 1 - since) % LONGEST == 0 or i + 1 == len(small):
             edges.append(i + 1)
+        if chosen:
+            since = i + 1
     return edges
 
 

@@ -85,8 +85,9 @@ OP4_SQL = """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(0, len(parts))) AS i, len(parts) AS n FROM split),
 hashed AS (SELECT *, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) % 1000003 AS h FROM lines),
-ended AS (SELECT *, CAST((h + 31 * lag(h, 1, 0) OVER w + 961 * lag(h, 2, 0) OVER w) % 1000003 % 4 = 0 OR (i + 1) % 64 = 0 OR i + 1 = n AS INTEGER) AS e
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+chosen AS (SELECT *, (h + 31 * lag(h, 1, 0) OVER w + 961 * lag(h, 2, 0) OVER w) % 1000003 % 4 = 0 AS c FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+since AS (SELECT *, coalesce(max(CASE WHEN c THEN i + 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM chosen),
+ended AS (SELECT *, CAST(c OR (i + 1 - s) % 64 = 0 OR i + 1 = n AS INTEGER) AS e FROM since),
 numbered AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM ended),
 chunks AS (SELECT doc_id, k, min(i) AS f, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body FROM numbered GROUP BY doc_id, k),
 placed AS (SELECT *, size >= 2 AND row_number() OVER (PARTITION BY body, size >= 2 ORDER BY doc_id, f) > 1 AS gone FROM chunks)
