@@ -38,7 +38,7 @@ def dictionary_match(spark, sf):
 @query("dictionary_match_by_shuffle", f"WITH {I.ctes('kana', 'terms', 'forms')}, {_MATCH} SELECT note_id, page, form AS suspect_span, t.seq AS seq FROM hit")
 def dictionary_match_by_shuffle(spark, sf):
     """The path of a dictionary too large to broadcast."""
-    m = M.dictionary_match(I.kana(spark, sf), M.term_forms(I.terms(spark, sf)), "text", max_broadcast_rows=0)
+    m = M.dictionary_match(I.kana(spark, sf), M.term_forms(I.terms(spark, sf)), "text", hint="merge")
     return m.select("note_id", "page", "suspect_span", "seq")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..session import broadcast_if_small
 
 PAGE = ["note_id", "page"]
 
@@ -24,7 +25,7 @@ def term_forms(terms: DataFrame) -> DataFrame:
 
 
 def _match_table(forms: DataFrame) -> DataFrame:
-    """The first term in load order for every form that may be reported, with its lookup prefix."""
+    """The first term in load order for every form that may be reported."""
     usable = forms.where((F.col("form") != "") & ((F.col("form") != F.col("normalized")) | F.col("is_standalone")))
     reason = F.when(
         F.col("is_standalone") & (F.col("form") == F.col("term")), F.lit(K.REASON_TERM)
@@ -32,52 +33,92 @@ def _match_table(forms: DataFrame) -> DataFrame:
     first = usable.groupBy("form").agg(
         F.min_by(F.struct("seq", "form_ord", reason.alias("reason"), "protect"), F.struct("seq", "form_ord")).alias("t")
     )
-    return first.select(
-        F.substring("form", 1, 2).alias("prefix"), "form",
-        "t.seq", "t.form_ord", "t.reason", F.col("t.protect").alias("is_protected"),
-    )
+    return first.select("form", "t.seq", "t.form_ord", "t.reason", F.col("t.protect").alias("is_protected"))
 
 
-def _prefixes(text: Column) -> Column:
-    """Distinct letters and letter pairs of a text, in one pass over its letters."""
-    return T.let(
-        F.split(text, "", -1),
-        lambda chars: F.array_distinct(
-            F.concat(
-                chars,
-                F.zip_with(
-                    F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1),
-                    lambda a, b: F.concat(a, b),
-                ),
-            )
-        ),
-    )
+#: Bits of the filter that keeps pieces of no form out of the join: 512 KB, whatever the dictionary holds.
+FILTER_BITS = 22
+_BASE = 0x9E3779B97F4A7C55
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(n, 1 << 16), base, np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base]
+
+
+def _slots(codes: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
+    """Place in the filter of each run of ``n`` letters; ``sums`` are the running sums of the letters' terms."""
+    m = len(codes) - n + 1
+    h = (sums[n:] - sums[:m]) * _powers(pow(_BASE, -1, 1 << 64), m)[:m]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(codes))[: len(codes)], out=out[1:])
+    return out
 
 
-def dictionary_match(pages: DataFrame, forms: DataFrame, column: str = "clean_text",
-                     max_broadcast_rows: int = 200_000) -> DataFrame:
-    """Forms found in each page, by an equi join on their first two characters.
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
-    A dictionary of measured small size is broadcast and the text is checked in the same stage.  A
-    larger one is joined by shuffle on the prefixes alone; the texts come back by page afterwards.
+
+def _marked(batches):
+    """Forms to the filter's bits of a task and the lengths it met."""
+    bits, lengths = np.zeros(1 << FILTER_BITS, bool), set()
+    for batch in batches:
+        for form in batch.column(0).to_pylist():
+            codes = _letters(form)
+            bits[_slots(codes, len(codes), _sums(codes))] = True
+            lengths.add(len(codes))
+    yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()], "lengths": [sorted(lengths)]}, schema=pa.schema([("bits", pa.binary()), ("lengths", pa.list_(pa.int32()))]))
+
+
+def _pieces(sent, lengths: list[int]):
+    """Texts to those of their pieces that may be forms, each once a text."""
+
+    def run(batches):
+        bits = np.unpackbits(np.frombuffer(sent.value, np.uint8)).astype(bool)
+        for batch in batches:
+            rows, out = [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                codes = _letters(text)
+                sums = _sums(codes)
+                found = set()
+                for n in lengths:
+                    if n > len(codes):
+                        break
+                    found.update([text[k : k + n] for k in np.flatnonzero(bits[_slots(codes, n, sums)]).tolist()])
+                out += found
+                rows += [i] * len(found)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.string())], ["note_id", "page", "form"])
+
+    return run
+
+
+def dictionary_match(pages: DataFrame, forms: DataFrame, column: str = "clean_text", hint: str | None = None) -> DataFrame:
+    """Forms found in each page, by an equi join on whole forms.
+
+    For each length that a form of the dictionary has, a page gives its distinct pieces of that length, less those
+    that a filter of fixed size rules out. The join has nothing to check afterwards, and a shuffled one moves
+    pieces, not texts; Spark chooses which, or ``hint`` (a join hint) does.
     """
-    table, small = broadcast_if_small(_match_table(forms), max_broadcast_rows)
+    table = _match_table(forms)
+    bits, lengths = np.zeros(1 << FILTER_BITS >> 3, np.uint8), set()
+    for r in table.select("form").mapInArrow(_marked, "bits binary, lengths array<int>").toLocalIterator():
+        bits |= np.frombuffer(r.bits, np.uint8)
+        lengths |= set(r.lengths)
+    sent = pages.sparkSession.sparkContext.broadcast(bits.tobytes())
     text = F.col(column)
-    if small:
-        hits = (
-            pages.where(text != "")
-            .select(*PAGE, text.alias("_t"), F.explode(_prefixes(text)).alias("prefix"))
-            .join(table, "prefix")
-            .where(F.contains("_t", "form"))
-        )
-    else:
-        pairs = (
-            pages.where(text != "")
-            .select(*PAGE, F.explode(_prefixes(text)).alias("prefix"))
-            .join(table, "prefix")
-        )
-        hits = pages.select(*PAGE, text.alias("_t")).join(pairs, PAGE).where(F.contains("_t", "form"))
-    return hits.select(
+    kinds = [pages.schema[c].dataType.simpleString() for c in PAGE]
+    pieces = pages.where(text != "").select(*PAGE, text.alias("_t")).mapInArrow(_pieces(sent, sorted(lengths)), f"note_id {kinds[0]}, page {kinds[1]}, form string")
+    return pieces.join(table.hint(hint) if hint else table, "form").select(
         *PAGE, F.col("form").alias("suspect_span"), "reason", F.lit(1.0).alias("confidence"), "is_protected",
         F.lit("dict").alias("category"), F.lit("dictionary").alias("detector"), "seq", "form_ord",
     )

@@ -42,7 +42,6 @@ class AnalyzeConfig:
     use_body: bool = True
     use_filename: bool = False
     confidence_threshold: float = K.OCR_CONFIDENCE_MIN
-    max_broadcast_rows: int = 200_000
 
 
 def page_profile(notes: DataFrame, config: AnalyzeConfig) -> DataFrame:
@@ -152,7 +151,7 @@ def findings(pages: DataFrame, config: AnalyzeConfig, forms: DataFrame | None) -
         p = p.join(grouped(low, ["seq"]).withColumnRenamed("_f", "_low"), ["note_id", "page"], "left")
         parts.append(labelled(F.col("_low"), "noise", "confidence"))
     if forms is not None:
-        hits = M.dictionary_match(pages, forms, max_broadcast_rows=config.max_broadcast_rows)
+        hits = M.dictionary_match(pages, forms)
         p = p.join(grouped(hits, ["seq", "form_ord"]).withColumnRenamed("_f", "_dict"), ["note_id", "page"], "left")
         parts.append(labelled(F.col("_dict"), "dict", "dictionary"))
     party = F.transform(

@@ -59,5 +59,5 @@ def test_dictionary_match_paths_agree(spark):
     f = M.term_forms(terms(spark, term("山"), term("村人", "村民", ["村"]), term("山論", "山論", ["山諍"]), term("申立", "申立")))
     p = spark.createDataFrame([("n", 1, "山村人ノ山諍"), ("n", 2, ""), ("m", 1, "申立")], "note_id string, page int, clean_text string")
     a = {(r.note_id, r.page, r.suspect_span) for r in M.dictionary_match(p, f).collect()}
-    b = {(r.note_id, r.page, r.suspect_span) for r in M.dictionary_match(p, f, max_broadcast_rows=0).collect()}
+    b = {(r.note_id, r.page, r.suspect_span) for r in M.dictionary_match(p, f, hint="merge").collect()}
     assert a == b == {("n", 1, "山"), ("n", 1, "村人"), ("n", 1, "村"), ("n", 1, "山諍"), ("m", 1, "申立")}
