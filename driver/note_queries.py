@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkfold.session import written
 from inkfold.functions import text as T
 from inkfold.operators import hints as H
 from inkfold.operators import pages as P
@@ -239,10 +240,10 @@ def replay_corrections(spark, sf):
     n = I.notes(spark, sf, I.grammar).withColumn("note_id", F.col("note_id").cast("string"))
     cfg = A.AnalyzeConfig(use_frontmatter=False, use_body=False)
     s = A.analyze(n, cfg)
-    rows = s.select(
+    rows = written(s.select(
         F.col("note_id").alias("doc_id"), "page", F.col("page").alias("save_page"), "span_id", "occurrence_index", "suspect_span",
         F.get("candidates", F.lit(0)).alias("selected_candidate"), F.lit("single").alias("correction_mode"), F.col("start").alias("ord"),
-    )
+    ))
     return R.replay_corrections(n, rows, cfg)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,22 @@ def ship_package(spark: SparkSession) -> None:
     context._inkfold_shipped = True
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder ``spark.checkpoint.dir``: later steps start from its rows.
+
+    Where that is unset, a local session writes to a folder of its own; a cluster has to name one.
+    """
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="inkfold-")
+    path = f"{top.rstrip('/')}/inkfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
     """Mark a table for broadcast only after measuring it; otherwise leave the join to shuffle.
 
