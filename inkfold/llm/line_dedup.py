@@ -7,8 +7,8 @@ once in the corpus are kept at their first place (smallest doc_id, then smallest
 
 Chunks are first counted by a 128-bit hash, without their texts. Those counted twice or more are compared
 byte by byte: where the smallest and the largest text of a hash are equal, all are; else its texts are grouped as they are.
-Both are minima that combine before the shuffle, so a chunk of every document is no hot group. What is removed
-comes back to the documents as line numbers.
+Both are minima that combine before the shuffle, so a chunk of every document is no hot group. What is asked for and what is removed comes
+back to the documents as line numbers; the texts lie in bucketed blocks and are not shuffled.
 
 Defined cases: a null text stays null and has no lines, an empty one has one line; lines end at \\n alone; rows of
 equal doc_id are told apart by their texts, and equal rows are one place: both keep or both lose; a null doc_id
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkfold.llm import store
+from inkfold.llm import blocks, store
+from inkfold.llm.blocks import unpack
 
 SPAN, DIVISOR, LONGEST, LEAST = 3, 4, 64, 2
 #: Multipliers of the rolling hash for the line itself and those before it, and its modulus.
@@ -57,77 +58,75 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
     return [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _listed(batches):
-    """Rows to (place, chunk hash) of their multi-line chunks."""
-    for batch in batches:
-        out = []
-        for doc, sub, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if text is not None:
-                out += [(doc, sub, at, hashlib.md5(body).digest()) for at, n, body in chunks(text) if n >= LEAST]
-        yield _rows(out, "chunk")
+PLACE = "doc_id long, sub long, first int"
 
 
-def _bodies(batches):
-    """(place, wanted lines, text) to the hashes and bytes of the chunks that begin there."""
-    for batch in batches:
-        out = []
-        for doc, sub, wanted, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            asked = set(wanted)
-            out += [(doc, sub, at, hashlib.md5(body).digest(), body) for at, _, body in chunks(text) if at in asked]
-        yield _rows(out, "chunk", "body")
+def _places(blocks: DataFrame, doc: int, text: int, wanted: bool) -> DataFrame:
+    """(block, row, place, chunk) of multi-line chunks; with ``wanted`` only those asked for, and their bytes."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.binary()] * wanted]
+    names = ["block", "row", "doc_id", "sub", "first", "chunk", *["body"] * wanted]
 
-
-def _rows(out: list[tuple], *binary: str) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * len(binary)]
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["doc_id", "sub", "first", *binary])
+    def run(batches):
+        for batch in batches:
+            for block, raw, *asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = unpack(raw)
+                only = {(x["row"], x["first"]) for x in asked[0]} if wanted else None
+                out = []
+                for i, (key, body) in enumerate(zip(rows.column(doc).to_pylist(), rows.column(text).to_pylist(), strict=True)):
+                    if body is None:
+                        continue
+                    sub = int.from_bytes(hashlib.md5(body.encode()).digest()[:8], "big", signed=True)
+                    for first, n, chunk in chunks(body):
+                        if n >= LEAST and (only is None or (i, first) in only):
+                            out.append((block, i, key, sub, first, hashlib.md5(chunk).digest(), *[chunk] * wanted))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    return blocks.mapInArrow(run, f"block long, row int, {PLACE}, chunk binary" + ", body binary" * wanted)
 
 
 def _rewritten(at: int, length: int | None):
-    """Rows with the lines to remove in the last column to rows with the new text, and the counts of lines."""
+    """Blocks with (row, first line) of what goes to their rows with the new texts, and the counts of lines."""
 
     def run(batches):
         for batch in batches:
-            texts, total, gone = [], [], []
-            for text, starts in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is None or not starts:
-                    texts.append(text)
+            for raw, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, out = unpack(raw), {}
+                for x in found or []:
+                    out.setdefault(x["row"], set()).add(x["first"])
+                texts, total, gone = rows.column(at).to_pylist(), [], []
+                for i, text in enumerate(texts):
+                    parts = chunks(text) if i in out else []
                     total.append(0 if text is None else text.count("\n") + 1)
-                    gone.append(0)
-                    continue
-                parts, out = chunks(text), set(starts)
-                texts.append(b"\n".join(body for first, _, body in parts if first not in out).decode())
-                total.append(sum(n for _, n, _ in parts))
-                gone.append(sum(n for first, n, _ in parts if first in out))
-            columns = [*batch.columns[:-1], pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if length is not None:
-                columns[length] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length).type)
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], N_LINES, N_REMOVED])
+                    gone.append(sum(n for first, n, _ in parts if first in out[i]))
+                    if parts:
+                        texts[i] = b"\n".join(body for first, _, body in parts if first not in out[i]).decode()
+                columns = [*rows.columns, pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
+                columns[at] = pa.array(texts, rows.schema.field(at).type)
+                if length is not None:
+                    columns[length] = pa.array([None if t is None else len(t) for t in texts], rows.schema.field(length).type)
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, N_LINES, N_REMOVED])
 
     return run
 
 
-def _removals(keyed: DataFrame) -> DataFrame:
-    """(doc_id, sub, starts): first lines of the chunks that a row loses."""
-    place, order = ["doc_id", "sub", "first"], F.struct("doc_id", "sub", "first")
-    listed = store.written(keyed.mapInArrow(_listed, "doc_id long, sub long, first int, chunk binary"))
+def _listed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("block").agg(F.collect_list(F.struct("row", "first")).alias("found"))
+
+
+def _removals(blocks: DataFrame, doc: int, text: int) -> DataFrame:
+    """(block, found): row and first line of the chunks that a block's rows lose."""
+    order, at = F.struct("doc_id", "sub", "first"), ["block", "row", "doc_id", "sub", "first"]
+    listed = store.written(_places(blocks, doc, text, False))
     counted = listed.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    suspects = listed.join(counted, "chunk", "left_semi").groupBy("doc_id", "sub").agg(F.collect_list("first").alias("wanted"))
-    asked = _matched(keyed, suspects, "inner").select("doc_id", "sub", "wanted", "text")
-    bodies = store.written(asked.mapInArrow(_bodies, "doc_id long, sub long, first int, chunk binary, body binary"))
+    suspects = _listed(listed.join(counted, "chunk", "left_semi"))
+    bodies = store.written(_places(blocks.join(suspects, "block").select("block", "payload", "found"), doc, text, True))
     compared = store.written(bodies.groupBy("chunk").agg(F.min(order).alias("least"), (F.min("body") == F.max("body")).alias("equal")))
-    alike = bodies.select(*place, "chunk").join(compared.where("equal"), "chunk")
+    alike = bodies.select(*at, "chunk").join(compared.where("equal"), "chunk")
     # texts that only share a hash
     apart = bodies.join(compared.where("NOT equal").select("chunk"), "chunk", "left_semi")
     exact = apart.join(apart.groupBy("chunk", "body").agg(F.min(order).alias("least")), ["chunk", "body"])
-    found = alike.select(*place, "least").unionByName(exact.select(*place, "least"))
-    return found.where(~order.eqNullSafe(F.col("least"))).groupBy("doc_id", "sub").agg(F.collect_list("first").alias("starts"))
-
-
-def _matched(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Rows with the list of their place; a null doc_id is a place like any other."""
-    named = lists.withColumnRenamed("doc_id", "_at").withColumnRenamed("sub", "_by")
-    return keyed.join(named, keyed["doc_id"].eqNullSafe(named["_at"]) & (keyed["sub"] == named["_by"]), how)
+    found = alike.select(*at, "least").unionByName(exact.select(*at, "least"))
+    return _listed(found.where(~order.eqNullSafe(F.col("least"))))
 
 
 N_LINES, N_REMOVED = "_n_lines", "_n_removed"
@@ -135,14 +134,12 @@ N_LINES, N_REMOVED = "_n_lines", "_n_removed"
 
 def repeats(docs: DataFrame) -> DataFrame:
     """The documents with all their columns and two more: lines before, lines removed."""
-    text = docs.columns.index("text")
+    text, doc = docs.columns.index("text"), docs.columns.index("doc_id")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    sub = F.xxhash64("text")
-    removals = store.written(_removals(store.spread(docs.select("doc_id", sub.alias("sub"), "text"))))
-    gone = removals.select(F.col("doc_id").alias("_at"), F.col("sub").alias("_by"), "starts")
-    rows = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_at"]) & (sub == gone["_by"]), "left").select(*[docs[c] for c in docs.columns], "starts")
+    rows = blocks.lay_out(docs, text)
+    removals = store.written(_removals(rows, doc, text))
     schema = T.StructType([*docs.schema.fields, T.StructField(N_LINES, T.LongType()), T.StructField(N_REMOVED, T.LongType())])
-    return rows.mapInArrow(_rewritten(text, length), schema)
+    return rows.join(removals, "block", "left").select("payload", "found").mapInArrow(_rewritten(text, length), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

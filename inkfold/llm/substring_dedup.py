@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm import scan, store
+from inkfold.llm.blocks import pack, unpack
 from inkfold.llm.token_files import EliasFano
 
 #: Bytes of text in a block, cells of the sketch per window at least, and ranges per shuffle partition.
@@ -36,18 +37,6 @@ BLOCK, CELLS, SPLIT = 8 << 20, 8, 4
 SECOND = 0xA0761D6478BD642F
 
 
-def _pack(doc_ids: pa.Array, texts: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays([doc_ids, texts], ["doc_id", "text"])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(raw: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
-
-
 class Windows:
     """Windows of the rows of a slice: ``keys`` of those inside one row, ``at`` their first words."""
 
@@ -107,7 +96,7 @@ def _layout(size: int, width: int, bits: int):
             keys = [w.key() for *_, w in _block_windows(batch, size)]
             cells, twice = _once(_cells(np.concatenate(keys), width))
             ranges, edge = _split(cells, bits) if len(cells) else ([], [])
-            rows = [(0, 0, _pack(batch.column(0), batch.column(1)))]
+            rows = [(0, 0, pack(batch))]
             for r, a, b in zip(ranges, edge[:-1], edge[1:], strict=True):
                 low = ((cells[a:b] << np.uint64(bits)) >> np.uint64(64 - width + bits)).astype(np.int64)
                 rows.append((1, int(r), EliasFano.encode(low) + np.packbits(twice[a:b]).tobytes()))
@@ -219,7 +208,7 @@ def _ask(size: int, width: int, bits: int):
     def run(batches):
         for batch in batches:
             for name, raw, ranges, masks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts, keys, flags = _candidates(_unpack(raw), size, width, bits, _masks(ranges, masks))
+                parts, keys, flags = _candidates(unpack(raw), size, width, bits, _masks(ranges, masks))
                 distinct, count, _ = _distinct_pairs(_pairs(parts, keys, flags))
                 if not len(distinct):
                     continue
@@ -251,7 +240,7 @@ def _remove(size: int, width: int, bits: int):
     def run(batches):
         for batch in batches:
             for raw, ranges1, masks1, ranges2, masks2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                docs = _unpack(raw)
+                docs = unpack(raw)
                 parts, keys, flags = _candidates(docs, size, width, bits, _masks(ranges1, masks1))
                 distinct, _, at = _distinct_pairs(_pairs(parts, keys, flags))
                 repeated = _apply_pairs(distinct, _masks(ranges2, masks2), bits)[at]
