@@ -22,53 +22,58 @@ def is_promotion_candidate(enabled: Column, approval_count: Column) -> Column:
     return enabled & (approval_count >= K.PROMOTION_MIN_APPROVALS)
 
 
-def approval_fold(events: DataFrame) -> DataFrame:
+def approval_fold(events: DataFrame, bucket: str = "hour") -> DataFrame:
     """State of every (file, term) after its events (op register, toggle or update; ts, seq order).
 
-    Only aggregates that combine before the shuffle, so a term with a third of all events costs no
-    more than any other; the joins in between meet one small row per term.  An update resets the
-    count when it changes the normalized form.  After the last update whose form differs from the
-    final one, the next update is that last change.
+    Events are only summed up per term, per (term, form) and per (term, ``bucket`` of time), all with aggregates that
+    combine before the shuffle. An update resets the count when it changes the normalized form: after the last
+    update whose form differs from the final one, the next update is that last change. Where that place lies
+    within a bucket, the events of that one bucket are looked at again; so events meet a term's row by
+    (term, bucket), and a term with most of the events is spread over its buckets.
     """
     e = events.select(
         *TERM_KEY, "op", T.strip(F.coalesce("normalized", F.lit(""))).alias("norm"), F.col("normalized").isNotNull().alias("has_norm"),
-        "enabled", "ts", F.struct("ts", "seq").alias("at"),
+        "enabled", "ts", F.struct("ts", "seq").alias("at"), F.date_trunc(bucket, "ts").alias("bucket"),
     )
-    register = F.col("op") == "register"
-    born = e.where(register).groupBy(*TERM_KEY).agg(
-        F.min("at").alias("born"), F.min_by("norm", "at").alias("first_norm"), F.min("ts").alias("registered_at")
-    )
-    # a toggle or an update before the first registration finds no row and does nothing
-    live = e.join(born, TERM_KEY).where(F.col("at") >= F.col("born"))
-    update = (F.col("op") == "update") & F.col("has_norm")
+    register, update = F.col("op") == "register", (F.col("op") == "update") & F.col("has_norm")
     switches = register | ((F.col("op").isin("toggle", "update")) & F.col("enabled").isNotNull())
-    final = live.groupBy(*TERM_KEY).agg(
-        F.coalesce(F.max_by(F.when(update, F.col("norm")), F.when(update, F.col("at"))), F.first("first_norm")).alias("normalized"),
-        F.first("first_norm").alias("first_norm"),
+    # events before the first registration do nothing; the latest ones below are never among them, but for an update
+    one = e.groupBy(*TERM_KEY).agg(
+        F.min(F.when(register, F.col("at"))).alias("born"), F.min_by("norm", F.when(register, F.col("at"))).alias("first_norm"),
+        F.min(F.when(register, F.col("ts"))).alias("registered_at"),
+        F.max(F.when(update, F.col("at"))).alias("_updated"), F.max_by("norm", F.when(update, F.col("at"))).alias("_norm"),
         F.max_by(F.when(register, F.lit(True)).otherwise(F.col("enabled")), F.when(switches, F.col("at"))).alias("enabled"),
         F.max(F.when(F.col("op") != "toggle", F.col("ts"))).alias("last_seen_at"),
-        F.first("registered_at").alias("registered_at"),
-        F.first("born").alias("born"),
-    )
+    ).where(F.col("born").isNotNull())
+    final = one.withColumn("normalized", F.when(F.col("_updated") >= F.col("born"), F.col("_norm")).otherwise(F.col("first_norm")))
+    forms = e.where(update).groupBy(*TERM_KEY, "norm").agg(F.max("at").alias("_last"))
     other = (
-        live.where(update).join(final.select(*TERM_KEY, F.col("normalized").alias("_final")), TERM_KEY)
-        .groupBy(*TERM_KEY).agg(F.max(F.when(F.col("norm") != F.col("_final"), F.col("at"))).alias("_other"))
+        forms.join(final.select(*TERM_KEY, "normalized", "born"), TERM_KEY)
+        .where((F.col("norm") != F.col("normalized")) & (F.col("_last") >= F.col("born")))
+        .groupBy(*TERM_KEY).agg(F.max("_last").alias("_other"))
     )
-    anchor = final.join(other, TERM_KEY, "left").select(
-        *TERM_KEY,
-        F.coalesce("_other", F.when(F.col("first_norm") != F.col("normalized"), F.col("born"))).alias("_after"),
-    )
-    reset = (
-        live.where(update).join(anchor.where(F.col("_after").isNotNull()), TERM_KEY).where(F.col("at") > F.col("_after"))
-        .groupBy(*TERM_KEY).agg(F.min("at").alias("_reset"))
+    anchor = final.join(other, TERM_KEY, "left").withColumn(
+        "_after", F.coalesce("_other", F.when(F.col("first_norm") != F.col("normalized"), F.col("born")))
     )
+    by_time = e.groupBy(*TERM_KEY, "bucket").agg(F.min(F.when(update, F.col("at"))).alias("_first_update"), F.count_if(register).alias("_n"))
+
+    def place(at: str) -> Column:
+        return F.date_trunc(bucket, F.col(f"{at}.ts"))
+
+    after = anchor.where(F.col("_after").isNotNull()).select(*TERM_KEY, "_after", place("_after").alias("_b"))
+    later = by_time.join(after, TERM_KEY).where(F.col("bucket") > F.col("_b")).select(*TERM_KEY, F.col("_first_update").alias("at"))
+    same = e.where(update).join(after.withColumnRenamed("_b", "bucket"), [*TERM_KEY, "bucket"]).where(F.col("at") > F.col("_after")).select(*TERM_KEY, "at")
+    reset = later.unionByName(same).groupBy(*TERM_KEY).agg(F.min("at").alias("_reset"))
+
     floor = final.select(*TERM_KEY, "born").join(reset, TERM_KEY, "left").select(
         *TERM_KEY, F.coalesce(F.greatest("born", "_reset"), F.col("born")).alias("_floor")
+    ).withColumn("_b", place("_floor"))
+    later = by_time.join(floor, TERM_KEY).where(F.col("bucket") > F.col("_b")).select(*TERM_KEY, F.col("_n").alias("n"))
+    same = (
+        e.where(register).join(floor.withColumnRenamed("_b", "bucket"), [*TERM_KEY, "bucket"]).where(F.col("at") > F.col("_floor"))
+        .groupBy(*TERM_KEY, "bucket").agg(F.count(F.lit(1)).alias("n")).drop("bucket")
     )
-    counts = (
-        e.where(register).join(floor, TERM_KEY).where(F.col("at") > F.col("_floor"))
-        .groupBy(*TERM_KEY).agg(F.count(F.lit(1)).alias("approval_count"))
-    )
+    counts = later.unionByName(same).groupBy(*TERM_KEY).agg(F.sum("n").alias("approval_count"))
     out = final.join(counts, TERM_KEY, "left").withColumn("approval_count", F.coalesce("approval_count", F.lit(0)).cast("int"))
     return out.select(
         *TERM_KEY, "normalized", "enabled", "approval_count", "registered_at", "last_seen_at",

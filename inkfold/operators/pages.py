@@ -311,7 +311,7 @@ def embed_corrected_pages(notes: DataFrame, pages: DataFrame) -> DataFrame:
 def upsert_ocr(notes: DataFrame, pages: DataFrame) -> DataFrame:
     """Insert or replace the OCR block of pages (note_id, page, text); page n is the n-th image line.
 
-    A page beyond the images of its note is an error.
+    A note with a page beyond its images stays as it is; :func:`rejected_pages` names it.
     """
     lines = marked_lines(F.col("md"))
     joined = notes.join(_page_texts(pages), "note_id", "left").withColumn("_lines", lines)
@@ -344,11 +344,20 @@ def upsert_ocr(notes: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn(
         "md",
         F.when(F.col("_texts").isNull(), F.col("md"))
-        .when(bad, F.raise_error(F.concat(F.lit("page out of range in note "), F.col("note_id").cast("string"))))
+        .when(bad, F.col("md"))
         .otherwise(rebuilt),
     ).drop("_texts", "_lines", "_images")
 
 
+def rejected_pages(notes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(note_id, page, reason) of pages that :func:`upsert_ocr` can't place: no such note, or no such image."""
+    images = F.size(F.filter(marked_lines(F.col("md")), lambda l: l["image"]))
+    known = notes.select("note_id", images.alias("_n"))
+    page = F.col("page").cast("int")
+    reason = F.when(F.col("_n").isNull(), F.lit("unknown note")).when((page < 1) | (page > F.col("_n")), F.lit("page out of range"))
+    return pages.join(known, "note_id", "left").select("note_id", "page", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def _drop_while(items: Column, holds) -> Column:
     """The array without its longest leading run for which ``holds``."""
     first = F.array_position(F.transform(items, lambda x: ~holds(x)), True)
@@ -373,7 +382,10 @@ def frontmatter_block_any(md: Column) -> Column:
 
 
 def set_frontmatter(notes: DataFrame, key: str, value) -> DataFrame:
-    """Set one top-level frontmatter key: the first exact match is replaced, else a line is added."""
+    """Set one top-level frontmatter key: the first exact match is replaced, else a line is added.
+
+    A note whose frontmatter isn't closed stays as it is; :func:`unclosed_frontmatter` names it.
+    """
     md = F.col("md")
     line = f"{key}: {value}"
     safe_key = "".join("\\" + ch if not ch.isalnum() and ch != "_" else ch for ch in key)
@@ -390,13 +402,20 @@ def set_frontmatter(notes: DataFrame, key: str, value) -> DataFrame:
     return notes.withColumn(
         "md",
         F.when(~F.startswith(md, F.lit("---")), F.concat(F.lit(f"---\n{line}\n---\n"), md))
-        .when(cut == 3, F.raise_error(F.concat(F.lit("frontmatter not closed in note "), F.col("note_id").cast("string"))))
+        .when(cut == 3, md)
         .otherwise(
             F.concat(F.lit("---\n"), F.when(hit > 0, replaced).otherwise(added), rest)
         ),
     )
 
 
+def unclosed_frontmatter(notes: DataFrame) -> DataFrame:
+    """(note_id, reason) of notes that open a frontmatter and never close it."""
+    md = F.col("md")
+    cut = F.instr(F.substring(md, F.lit(4), F.char_length(md)), "\n---")
+    return notes.where(F.startswith(md, F.lit("---")) & (cut == 0)).select("note_id", F.lit("frontmatter not closed").alias("reason"))
+
+
 def merge_body(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Frontmatter of the stored copy, body of the incoming copy (both note_id, md)."""
     def fm_end(md):

@@ -117,3 +117,53 @@ def test_paint_order(spark):
     s = spark.createDataFrame([("n", 1, 0, 4, "s0"), ("n", 1, 6, 7, "s6")], "note_id string, page int, start int, end int, span_id string")
     h = spark.createDataFrame([("n", 1, 2, 3, "h2"), ("n", 1, 4, 5, "h4"), ("n", 1, 6, 7, "h6")], "note_id string, page int, start int, end int, id string")
     assert [r.id for r in X.paint_order(s, h).orderBy("start").collect()] == ["s0", "h4", "s6"]
+
+
+def test_json_export_reads_back_whole(spark, tmp):
+    rows = [("d", 1, f"p1_o0_s{i}", i, "語", f"候{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, span_id string, occurrence_index int, suspect_span string, selected_candidate string").withColumn("ord", F.col("occurrence_index"))
+    logs.export_corrections(logs.export_rows(df, "t").repartition(3), f"{tmp}/c.json", "json")
+    back = logs.scan_corrections(spark, f"{tmp}/c.json")
+    assert sorted(r.selected_candidate for r in back.collect()) == sorted(r[5] for r in rows)
+    old = spark.createDataFrame([('[{"doc_id":"d","spanId":"s1","page":2},{"doc_id":"e","span_id":"s2"}]',)], "value string")
+    assert [r.span_id for r in logs.parse_corrections(old).collect()] == ["s1", "s2"]
+
+
+def folded(events):
+    state = {}
+    for term, op, norm, enabled, ts, seq in sorted(events, key=lambda e: (e[4], e[5])):
+        s = state.get(term)
+        if s is None:
+            if op == "register":
+                state[term] = {"n": norm, "on": True, "count": 0}
+            continue
+        if op == "register":
+            s["count"] += 1
+            s["on"] = True
+        elif op == "update" and norm is not None:
+            if norm != s["n"]:
+                s["count"] = 0
+            s["n"] = norm
+        if op != "register" and enabled is not None:
+            s["on"] = enabled
+    return {t: (s["n"], s["on"], s["count"]) for t, s in state.items()}
+
+
+def test_registration_fold_with_one_frequent_term(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from inkfold.operators import governance as G
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        events = []
+        for i in range(600):
+            term = "hot" if rng.random() < 0.9 else rng.choice("abc")
+            op = rng.choice(["register"] * 4 + ["toggle", "update"])
+            norm = rng.choice(["x", "y"]) if op == "register" or rng.random() < 0.4 else None
+            enabled = rng.random() < 0.5 if op == "toggle" else None
+            events.append((term, op, norm, enabled, datetime(2026, 1, 1) + timedelta(minutes=rng.randint(0, 400)), i))
+        df = spark.createDataFrame([("f", *e) for e in events], "file string, term string, op string, normalized string, enabled boolean, ts timestamp, seq long")
+        got = {r.term: (r.normalized, r.enabled, r.approval_count) for r in G.approval_fold(df).collect()}
+        assert got == folded(events)

@@ -1,6 +1,5 @@
 """Notes to pages, block rewriting, frontmatter."""
 
-import pytest
 
 from inkfold.operators import pages as P
 
@@ -77,16 +76,19 @@ def test_embed_pages_and_upsert(spark):
     t2 = spark.createDataFrame([("0", 1, "N"), ("0", 2, "M")], "note_id string, page int, text string")
     assert P.upsert_ocr(n2, t2).first().md == "![[a.jpg]]\n\n> [!ocr]\n> N\n\n![[b.jpg]]\n> [!ocr]\n> M\nend"
     bad = spark.createDataFrame([("0", 3, "N")], "note_id string, page int, text string")
-    with pytest.raises(Exception, match="out of range"):
-        P.upsert_ocr(n2, bad).collect()
+    assert P.upsert_ocr(n2, bad).first().md == n2.first().md
+    assert [tuple(r) for r in P.rejected_pages(n2, bad).collect()] == [("0", 3, "page out of range")]
+    assert P.rejected_pages(n2, t2).collect() == []
 
 
 def test_set_frontmatter(spark):
     n = notes(spark, "body", "---\na: 1\nab: 2\n---\nbody", "---\nx: 1\n---\nbody\na: 5")
     got = [r.md for r in P.set_frontmatter(n, "a", "v").orderBy("note_id").collect()]
     assert got == ["---\na: v\n---\nbody", "---\na: v\nab: 2\n---\nbody", "---\nx: 1\na: v\n\n---\nbody\na: 5"]
-    with pytest.raises(Exception, match="not closed"):
-        P.set_frontmatter(notes(spark, "---\na: 1"), "a", "v").collect()
+    open_note = notes(spark, "---\na: 1")
+    assert P.set_frontmatter(open_note, "a", "v").first().md == "---\na: 1"
+    assert P.unclosed_frontmatter(open_note).first().reason == "frontmatter not closed"
+    assert P.unclosed_frontmatter(n).collect() == []
 
 
 def test_merge_body(spark):

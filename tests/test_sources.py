@@ -44,8 +44,8 @@ def test_term_lists(spark, tmp):
     t = SD.scan_terms(spark, f"{tmp}/d").orderBy("seq").collect()
     assert [(r.term, r.variants, r.priority, r.protect) for r in t] == [("入会", [], 0.0, True), ("山論", [], 0.0, False), ("秣場", ["秣塲", "まぐさば"], 0.8, False)]
     put(f"{tmp}/e/a.csv", f"{HEAD}\n,x,,,,,,,,\n")
-    with pytest.raises(Exception, match="empty term"):
-        SD.scan_terms(spark, f"{tmp}/e").collect()
+    assert SD.scan_terms(spark, f"{tmp}/e").collect() == []
+    assert [r.reason for r in SD.rejected_terms(spark, f"{tmp}/e").collect()] == ["empty term"]
     put(f"{tmp}/g/a.csv", "term,normalized\nx,y\n")
     with pytest.raises(ValueError, match="lacks"):
         SD.scan_terms(spark, f"{tmp}/g")
@@ -70,6 +70,21 @@ def test_confidence_trees(spark):
     assert {(r.text, r.confidence) for r in N.ocr_chars(df).collect()} == {("入會", 0.55), ("入", 0.9), ("侍", 0.3), ("z", 1.0)}
 
 
+def test_confidence_trees_of_any_depth_in_their_own_order(spark):
+    deep = '{"text":"a","confidence":0.1,"x":' + "[" * 5000 + '{"confidence":2e-1,"text":"b\\"]"}' + "]" * 5000 + "}"
+    mixed = '{"z":{"confidence":1,"text":"first"},"a":[{"text":"second","confidence":0},{"text":5,"confidence":1},{"text":"no"}, {}, [], "text", null]}'
+    rows = [("d", deep), ("m", mixed), ("n", None), ("o", "[{"), ("p", "]")]
+    got = N.ocr_chars(spark.createDataFrame(rows, "note_id string, json string")).orderBy("note_id", "ord").collect()
+    assert [(r.note_id, r.text, r.confidence) for r in got] == [("d", "a", 0.1), ("d", 'b"]', 0.2), ("m", "first", 1.0), ("m", "second", 0.0)]
+
+
+def test_notes_found_by_parts(spark):
+    n = spark.createDataFrame([("1", "x/beta", "beta"), ("2", "a/beta2", "beta2"), ("3", "yy/q", "q")], "note_id string, path string, name string")
+    q = spark.createDataFrame([("eta",), ("et",), ("a/b",), ("yy/q.md",), ("y/",), ("beta",), ("none",), ("q",), ("/",), ("",)], "query string")
+    got = {r.query: (r.note_id, r.rule) for r in N.find_notes(n, q).collect()}
+    assert got == {"eta": ("2", 5), "et": ("2", 5), "a/b": ("2", 6), "yy/q.md": ("3", 4), "y/": ("3", 6), "beta": ("1", 2), "none": (None, None), "q": ("3", 2), "/": ("2", 6), "": ("2", 5)}
+
+
 def test_versions(spark, tmp):
     a = spark.createDataFrame([("甲",)], "term string")
     assert logs.write_version(a, f"{tmp}/dict") == 1 and logs.write_version(a.union(a), f"{tmp}/dict") == 2
