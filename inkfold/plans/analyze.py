@@ -37,6 +37,7 @@ class AnalyzeConfig:
     proper_nouns: DataFrame | None = None   # kind, region_key, term, is_alias, regions, weight, seq
     ocr_chars: DataFrame | None = None      # note_id, text, confidence[, ord]
     domain_hint: str = ""
+    fence: str = "line"                     # frontmatter ends at a line of ---, or ("any") at any later ---
     unit: str = "page"                      # "page", or "note" for the note text as one unit
     use_frontmatter: bool = True
     use_body: bool = True
@@ -44,6 +45,10 @@ class AnalyzeConfig:
     confidence_threshold: float = K.OCR_CONFIDENCE_MIN
 
 
+def _fenced(md: Column, config: AnalyzeConfig) -> Column:
+    return P.frontmatter_block_any(md) if config.fence == "any" else P.frontmatter_block(md)
+
+
 def page_profile(notes: DataFrame, config: AnalyzeConfig) -> DataFrame:
     """Pages with all that one page's analysis needs from its note, built in the row.
 
@@ -53,7 +58,7 @@ def page_profile(notes: DataFrame, config: AnalyzeConfig) -> DataFrame:
     if "md" in notes.columns:
         md = F.col("md")
         name = F.col("name") if "name" in notes.columns else F.lit("")
-        fm = frontmatter_col(P.frontmatter_block(md)) if config.use_frontmatter else F.array().cast(
+        fm = frontmatter_col(_fenced(md, config)) if config.use_frontmatter else F.array().cast(
             "array<struct<key:string,ord:int,value:string,is_text:boolean>>"
         )
         base = notes.select("note_id", md.alias("md"), name.alias("name"), fm.alias("fm"))
@@ -105,7 +110,7 @@ def note_hints(notes: DataFrame, config: AnalyzeConfig) -> DataFrame | None:
     empty_tokens = empty_tokens.withColumn("note_id", F.col("note_id").cast(key_type))
     name = F.col("name") if "name" in notes.columns else F.lit("")
     if config.use_frontmatter:
-        fm = notes.select("note_id", name.alias("name"), frontmatter_col(P.frontmatter_block(F.col("md"))).alias("fm"))
+        fm = notes.select("note_id", name.alias("name"), frontmatter_col(_fenced(F.col("md"), config)).alias("fm"))
         rows = fm.select("note_id", F.inline("fm"))
         names = fm.select("note_id", "name") if config.use_filename else None
         meta = H.metadata_tokens(rows, names)

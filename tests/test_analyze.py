@@ -95,3 +95,12 @@ def test_replay(spark):
     ], cols)
     r = R.replay_corrections(notes, rows, A.AnalyzeConfig(use_body=False)).first()
     assert r.n_applied == 2 and "村ヲ申立候\n" in r.new_text and "申立レ共" not in r.new_text and "村ニ伊勢" in r.new_text
+
+
+def test_evaluation_ends_frontmatter_at_any_fence(spark):
+    df = spark.createDataFrame([("n", "---\nregion: 尾張\ncourt: a---b\n---\n本文", "x")], "note_id string, md string, name string")
+    courts = {}
+    for fence in ("line", "any"):
+        fm = A.page_profile(df, A.AnalyzeConfig(unit="note", fence=fence)).first().fm
+        courts[fence] = [e["value"] for e in fm if e["key"] == "court"]
+    assert courts == {"line": ["a---b"], "any": ["a"]}
