@@ -122,10 +122,12 @@ def _removals(blocks: DataFrame, doc: int, text: int) -> DataFrame:
     bodies = store.written(_places(blocks.join(suspects, "block").select("block", "payload", "found"), doc, text, True))
     compared = store.written(bodies.groupBy("chunk").agg(F.min(order).alias("least"), (F.min("body") == F.max("body")).alias("equal")))
     alike = bodies.select(*at, "chunk").join(compared.where("equal"), "chunk")
-    # texts that only share a hash
-    apart = bodies.join(compared.where("NOT equal").select("chunk"), "chunk", "left_semi")
-    exact = apart.join(apart.groupBy("chunk", "body").agg(F.min(order).alias("least")), ["chunk", "body"])
-    found = alike.select(*at, "least").unionByName(exact.select(*at, "least"))
+    found = alike.select(*at, "least")
+    collided = compared.where("NOT equal").select("chunk")
+    if not collided.isEmpty():  # texts that only share a hash: grouped as they are
+        apart = bodies.join(collided, "chunk", "left_semi")
+        exact = apart.join(apart.groupBy("chunk", "body").agg(F.min(order).alias("least")), ["chunk", "body"])
+        found = found.unionByName(exact.select(*at, "least"))
     return _listed(found.where(~order.eqNullSafe(F.col("least"))))
 
 
