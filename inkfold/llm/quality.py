@@ -14,6 +14,7 @@ document gets the share of good ones (0.5 without labels). Only doc_id and text
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,11 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         made = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             kinds, count = np.unique(rows[a:b], return_counts=True)
-            made.append(kinds.astype("<u4").tobytes() + (count / (b - a + SILENT)).astype("<f4").tobytes())
+            made.append(kinds.astype("<i4").tobytes() + (count / (b - a + SILENT)).astype("<f4").tobytes())
         return {"bag": pa.array(made, pa.binary())}
 
     found = scan.map_text(lexicon.with_text(docs, chosen), per_slice, "doc_id long, label int, bag binary", keep=["doc_id", "label"]).collect()
-    found.sort(key=lambda r: (r.doc_id, bytes(r.bag)))
+    found.sort(key=lambda r: (r.doc_id, zlib.crc32(r.bag)))
     y = np.array([r.label for r in found], np.int64)
     if not len(y) or y.min() == y.max():
         share = min(max(0.5 if share is None else share, 1e-3), 1 - 1e-3)
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     bags = []
     for r in found:
         n = len(r.bag) // 8
-        bags.append((np.frombuffer(r.bag, "<u4", n).astype(np.int64), np.frombuffer(r.bag, "<f4", n, 4 * n)))
+        bags.append((np.frombuffer(r.bag, "<i4", n), np.frombuffer(r.bag, "<f4", n, 4 * n)))  # views, not copies
     return fit(bags, y, min(max(share, 1e-3), 1 - 1e-3))
 
 
