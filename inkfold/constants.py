@@ -25,7 +25,7 @@ KANJI_BY_NAME = (
 KANA_BY_NAME = (
     r"\x{3041}-\x{3096}\x{3099}-\x{30FF}\x{31F0}-\x{31FF}\x{32D0}-\x{32FE}"
     r"\x{FF65}-\x{FF9F}\x{1AFF0}-\x{1AFF3}\x{1AFF5}-\x{1AFFB}\x{1AFFD}-\x{1AFFE}"
-    r"\x{1B000}-\x{1B001}\x{1B11F}-\x{1B122}\x{1F200}-\x{1F202}\x{1F213}\x{1B132}\x{1B150}-\x{1B152}\x{1B155}\x{1B164}-\x{1B167}"
+    r"\x{1B000}-\x{1B001}\x{1B11F}-\x{1B122}\x{1B132}\x{1B150}-\x{1B152}\x{1B155}\x{1B164}-\x{1B167}\x{1F200}-\x{1F202}\x{1F213}"
 )
 EMOJI = (
     r"\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}"

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .detectors import recommended_verdict  # noqa: F401  (part of this module's surface)
 
 
 def _is(name: str) -> Column:

@@ -8,7 +8,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "inkfold") -> SparkSession:
@@ -64,18 +63,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> tuple[DataFrame, bool]:
-    """Mark a table for broadcast only after measuring it; otherwise leave the join to shuffle.
-
-    The measuring job reads at most ``max_rows + 1`` rows and returns two numbers.
-    """
-    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(16 * len(df.columns)))
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
-    small = n <= max_rows and size <= max_bytes
-    return (F.broadcast(df), True) if small else (df, False)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input of fewer splits than cores; a large input is left as it is.
 
