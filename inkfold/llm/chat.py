@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm import store
 
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 LEARNED = "assistant"
