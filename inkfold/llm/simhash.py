@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm import scan, store
+from inkfold.llm import scan, shingles, store
 from inkfold.llm.components import components
 
 SHINGLE, SEED, RADIUS, PIECES, TILE = 3, 42, 3, 5, 4096
@@ -208,9 +208,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their group; rows of null doc_id stay, of equal rows of one doc_id one stays."""
-    found = near_duplicates(docs.where("doc_id IS NOT NULL"))
-    kept = found.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id = least").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+    """One row of each group of rows whose sets of ``shingle`` words are alike (see ``shingles``); rows of null doc_id stay.
+
+    Three bits of radius find but a part of such pairs, so this doesn't rest on the fingerprints of ``near_duplicates``.
+    """
+    named = shingles.keep_one(docs.where("doc_id IS NOT NULL"), shingle, likeness)
     return named.unionByName(docs.where("doc_id IS NULL"))
