@@ -67,3 +67,9 @@ def test_the_stage_keeps_what_a_plain_loop_keeps(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, SMALL)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == plain_kept(rows)
+
+
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of seven words"), (7, "one text here"), (7, "other text there"), (7, "one text here")]
+    got = simhash.keep_one(cases.frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [rows[0], rows[2], rows[3], rows[4]]
