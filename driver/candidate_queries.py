@@ -15,7 +15,7 @@ from inkfold.plans import analyze as A
 from inkfold.sources import dictionaries as SD
 
 from . import inputs as I
-from .registry import query
+from .registry import ORACLES, query
 
 _BASE = I.ctes("kana", "words", "terms", "forms")
 _FIRST = (
@@ -62,15 +62,22 @@ def dictionary_match_by_shuffle(spark, sf):
     "SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(start + pos - 1) AS BIGINT) AS start_sum FROM tok JOIN seen USING (token) GROUP BY 1",
 )
 def span_counts(spark, sf):
-    """Flagship: detectors and vocabulary in one pass, spans located in the row, counts per document.
+    """Counts of ``span_counts_all`` without symbol runs, which this query's SQL doesn't scan for."""
+    return _counts(_located(spark, sf, lambda found: F.filter(found, lambda x: ~x["f"]["suspect_span"].rlike("^[！？。、…・]+$"))))
 
-    Symbol runs are left out of the counts (they overlap themselves, see ``occurrences``).
-    """
+
+def span_pages(spark, sf):
+    """The page of each document that is searched for spans."""
     t = I.table(spark, sf, "documents")
     low = F.lower("text")
     g = F.translate(low, I.GRAMMAR_FROM, I.GRAMMAR_TO)
     tail = F.concat(F.lit("\n一〇、〇〇、一一、〇一\n"), F.repeat(F.substring(g, 1, 1), 30), F.lit("\n□□"), "source", F.lit("・.、……。・。です\n候也"), "lang", F.lit("である。"))
-    pages = t.select(F.col("doc_id").alias("note_id"), F.lit(1).alias("page"), F.concat(F.translate(low, I.LETTERS, I.KANA), F.lit("\n"), g, tail).alias("text"))
+    return t.select(F.col("doc_id").alias("note_id"), F.lit(1).alias("page"), F.concat(F.translate(low, I.LETTERS, I.KANA), F.lit("\n"), g, tail).alias("text"))
+
+
+def _located(spark, sf, choose):
+    """(note_id, w): the chosen findings of each page with their starts."""
+    pages = span_pages(spark, sf)
     hits = M.dictionary_match(pages, M.term_forms(I.terms(spark, sf)), "text")
     per_page = hits.groupBy("note_id", "page").agg(F.collect_list("suspect_span").alias("_d"))
     text = F.col("text")
@@ -80,8 +87,11 @@ def span_counts(spark, sf):
     )
     p = pages.join(per_page, ["note_id", "page"], "left").withColumn("_first", M.first_reports_col(both))
     found = M.visible_starts_col(text, F.col("_first"))
-    words = F.filter(found, lambda x: ~x["f"]["suspect_span"].rlike("^[！？。、…・]+$"))
-    return p.select("note_id", words.alias("w")).where(F.size("w") > 0).select(
+    return p.select("note_id", choose(found).alias("w"))
+
+
+def _counts(located):
+    return located.where(F.size("w") > 0).select(
         "note_id",
         F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x["starts"])).alias("n_spans"),
         F.size("w").cast("bigint").alias("n_texts"),
@@ -89,6 +99,27 @@ def span_counts(spark, sf):
     )
 
 
+# A symbol run also stands inside longer runs of its document, so runs are met per document; they share no letter with words.
+_RUN = f"'{K.SYMBOL_RUN}'"
+_ALL = (
+    f"{ORACLES['span_counts'].rpartition(' SELECT note_id, count(*) AS n_spans')[0]}, "
+    f"run AS (SELECT DISTINCT note_id, unnest(regexp_extract_all(token, {_RUN}, 0)) AS s FROM tok), "
+    f"place AS (SELECT r.note_id, t.token, r.s FROM run r JOIN (SELECT DISTINCT note_id, token FROM tok WHERE regexp_matches(token, {_RUN})) t ON t.note_id = r.note_id AND contains(t.token, r.s)), "
+    "rgreedy AS (SELECT note_id, token, s, instr(token, s) AS pos FROM place UNION ALL SELECT note_id, token, s, pos + length(s) - 1 + instr(substr(token, pos + length(s)), s) FROM rgreedy WHERE instr(substr(token, pos + length(s)), s) > 0), "
+    "rlongest AS (SELECT note_id, token, pos, max(length(s)) AS n FROM rgreedy GROUP BY ALL), "
+    "rscan AS (SELECT p.note_id, p.token, p.s, p.pos, coalesce(l.n, 0) > length(p.s) AS hidden FROM (SELECT note_id, token, s, instr(token, s) AS pos FROM place) p LEFT JOIN rlongest l ON l.note_id = p.note_id AND l.token = p.token AND l.pos = p.pos UNION ALL "
+    "SELECT p.note_id, p.token, p.s, p.pos, coalesce(l.n, 0) > length(p.s) FROM (SELECT note_id, token, s, frm - 1 + instr(substr(token, frm), s) AS pos FROM (SELECT note_id, token, s, CASE WHEN hidden THEN pos + 1 ELSE pos + length(s) END AS frm FROM rscan) "
+    "WHERE instr(substr(token, frm), s) > 0) p LEFT JOIN rlongest l ON l.note_id = p.note_id AND l.token = p.token AND l.pos = p.pos), "
+    "every AS (SELECT note_id, s, start + pos - 1 AS begun FROM tok JOIN seen USING (token) UNION ALL SELECT note_id, s, start + pos - 1 FROM tok JOIN rscan USING (note_id, token) WHERE NOT hidden)"
+)
+
+
+@query("span_counts_all", f"{_ALL} SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(begun) AS BIGINT) AS start_sum FROM every GROUP BY 1")
+def span_counts_all(spark, sf):
+    """Flagship: detectors and vocabulary in one pass, spans located in the row, counts per document, symbol runs included."""
+    return _counts(_located(spark, sf, lambda found: found))
+
+
 # --- candidates -----------------------------------------------------------------------
 def spans(spark, sf):
     n = F.char_length("suspect_span")
