@@ -139,3 +139,46 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(store.written(chat.format_records(chat.row_records(rows))))
+
+
+def _levels(name: str, tree: str, keep: str, levels: int) -> str:
+    """CTEs that fold the nodes ``{name}0`` (tree, i, n, h) level by level, and carry rows ``{name}p0`` (tree, i, proof, bad, {keep}) along."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}r{k} AS (SELECT {tree}, i // 3 AS i, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {name}{k} GROUP BY {tree}, i // 3)")
+        out.append(f"{name}{k + 1} AS (SELECT {tree}, i, (n + 2) // 3 AS n, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+        out.append(
+            f"{name}p{k + 1} AS (SELECT {keep}, p.{tree}, r.i, proof || array_to_string(hs[:p.i % 3], '') || array_to_string(hs[p.i % 3 + 2:], '') AS proof, "
+            f"CASE WHEN n = 1 THEN bad ELSE sha256(array_to_string(hs[:p.i % 3], '') || bad || array_to_string(hs[p.i % 3 + 2:], '')) END AS bad "
+            f"FROM {name}p{k} p JOIN {name}r{k} r ON p.{tree} = r.{tree} AND p.i // 3 = r.i)")
+    return ", ".join(out)
+
+
+#: Levels of the trees in the SQL: enough for 3 ** 16 documents of a source and 3 ** 9 sources; a finished tree goes through unchanged.
+_LEAVES, _SOURCES = 16, 9
+_BYTES = "CASE WHEN {0} IS NULL THEN '-' ELSE CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR) END"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+    "lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, source, {" || ".join(_BYTES.format(c) for c in ("doc_id", "source", "lang", "n_chars"))} AS head, text FROM documents),
+l AS (SELECT doc_id, coalesce('+' || source, '') AS s, sha256(head || {_BYTES.format("text")}) AS leaf,
+  CASE WHEN coalesce({_CRC} % 2 = 0, false) THEN sha256(head || {_BYTES.format("replace(text, chr(10), '')")}) END AS bad FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n, row_number() OVER () AS rid FROM l),
+a0 AS (SELECT s, i, n, leaf AS h FROM o), ap0 AS (SELECT rid, s, i, '' AS proof, coalesce(bad, leaf) AS bad FROM o),
+{_levels("a", "s", "rid", _LEAVES)},
+b0 AS (SELECT 0 AS w, s, row_number() OVER (ORDER BY encode(s)) - 1 AS i, count(*) OVER () AS n, h FROM a{_LEAVES}),
+bp0 AS (SELECT rid, 0 AS w, b0.i, proof, bad, h AS subroot FROM ap{_LEAVES} JOIN b0 USING (s)),
+{_levels("b", "w", "rid, subroot", _SOURCES)}
+SELECT doc_id, leaf, subroot, (SELECT h FROM b{_SOURCES}) AS root, sha256(proof) AS proof_sha256, p.bad AS folded_root, p.bad = (SELECT h FROM b{_SOURCES}) AS verified
+FROM bp{_SOURCES} p JOIN o USING (rid)
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents, with a proof of each and what a tampered row folds to."""
+    from inkfold.llm import merkle
+
+    return merkle.manifest(table(spark, sf_dir, "documents"))
