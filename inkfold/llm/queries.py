@@ -204,3 +204,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkfold.llm import negatives
 
     return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_lm_score")
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents by the attention model and by word frequencies, learned outside the held-out fold."""
+    from inkfold.llm import lm, units
+
+    return lm.score(table(spark, sf_dir, "documents"), units.tokenizer_path("word_bpe_49k.json"))
