@@ -350,16 +350,13 @@ def proper_nouns_applied(spark, sf):
 @query(
     "union_terms",
     f"WITH {I.ctes('terms')}, u AS (SELECT term, 'stable' AS tier, 0 AS part, seq FROM terms WHERE tier = 'stable' UNION ALL SELECT term, 'experimental', 1, seq FROM terms WHERE tier = 'experimental' UNION ALL SELECT term, 'temporary', 2, seq FROM terms WHERE protect) "
-    "SELECT term, tier, row_number() OVER (ORDER BY part, seq) AS load_order FROM u",
+    "SELECT term, tier, CAST(part AS BIGINT) * (1::BIGINT << 58) + seq AS seq FROM u",
 )
 def union_terms(spark, sf):
     t = I.terms(spark, sf)
     temp = t.where("protect").withColumn("tier", F.lit("temporary"))
     u = SD.union_terms(t.where("tier = 'stable'"), t.where("tier = 'experimental'"), temp, True)
-    from pyspark.sql import Window as W
-
-    # the dense number exists for the comparison only; the operator keeps a sparse one
-    return u.select("term", "tier", F.row_number().over(W.orderBy("seq")).cast("bigint").alias("load_order"))
+    return u.select("term", "tier", "seq")
 
 
 @query(

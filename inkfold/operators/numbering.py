@@ -5,7 +5,7 @@ Only counts of pieces are ever brought into one order, so a group of any size is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.session import written
@@ -44,19 +44,30 @@ def numbered(rows: DataFrame, order: list[str], group: list[str] | None = None)
     return piece.join(starts, [*group, "_piece"]).withColumn(PLACE, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_piece", "_first", "_before")
 
 
-def scanned(lines: DataFrame, path: Column | None = None) -> DataFrame:
-    """Rows of a file scan with ``file``, the start of their split, and ``_at``, which rises along each split."""
-    return lines.select("*", (F.col("_metadata.file_path") if path is None else path).alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+#: Numbers of a file's lines in one number that follows (file, line): the file's place stands above these bits.
+LINE_BITS = 40
 
 
-def file_lines(lines: DataFrame, name: str = "line_no") -> DataFrame:
-    """A text scan with ``file`` and the number of each line in its file, from 1, however many splits the file has.
+def scanned(df: DataFrame) -> DataFrame:
+    """(file, stretch, at, value) of a text scan: a stretch is a split of a file, along which ``at`` rises by one."""
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("stretch"), F.monotonically_increasing_id().alias("at"), "value")
 
-    A split's lines follow one another in one task. So the count of each (file, split) and their prefix sums over the splits of a file
-    tell where a split begins; lines are neither sorted nor shuffled for it, only joined with one row a split.
-    The scan runs twice: over the same files, with the same splits.
+
+def file_places(stretches: DataFrame) -> DataFrame:
+    """(file, place): files by name."""
+    return numbered(written(stretches.select("file").distinct()), ["file"]).select("file", F.col(PLACE).alias("file_place"))
+
+
+def ordered(lines: DataFrame, name: str = "line_no") -> DataFrame:
+    """``lines`` (file, stretch, at, ...) with ``line``, from 1 in its file, and ``name``, which rises by file name and line.
+
+    A stretch's lines follow one another in one task. So the count of each stretch, and their prefix sums over a file, tell
+    where a stretch begins: lines are neither sorted nor numbered by one task, only joined with one row a stretch.
+    A scan runs twice: over the same files, with the same splits.
     """
-    at = scanned(lines)
-    counts = at.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
-    starts = _before(counts, ["file"], ["_split"], ["n"]).select("file", "_split", "_first", F.col("before_n").alias("_before"))
-    return at.join(starts, ["file", "_split"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_split", "_at", "_first", "_before")
+    counts = lines.groupBy("file", "stretch").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    starts = _before(written(counts), ["file"], ["stretch"], ["n"])
+    starts = starts.join(file_places(starts), "file").select("file", "stretch", "_first", F.col("before_n").alias("_before"), "file_place")
+    line = F.col("_before") + F.col("at") - F.col("_first") + 1
+    numbered_lines = lines.join(starts, ["file", "stretch"]).withColumn("line", line)
+    return numbered_lines.withColumn(name, F.shiftleft("file_place", LINE_BITS) + F.col("line")).drop("_first", "_before", "file_place")

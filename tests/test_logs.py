@@ -125,8 +125,9 @@ def test_json_export_reads_back_whole(spark, tmp):
     logs.export_corrections(logs.export_rows(df, "t").repartition(3), f"{tmp}/c.json", "json")
     back = logs.scan_corrections(spark, f"{tmp}/c.json")
     assert sorted(r.selected_candidate for r in back.collect()) == sorted(r[5] for r in rows)
-    old = spark.createDataFrame([('[{"doc_id":"d","spanId":"s1","page":2},{"doc_id":"e","span_id":"s2"}]',)], "value string")
-    assert [r.span_id for r in logs.parse_corrections(old).collect()] == ["s1", "s2"]
+    with open(f"{tmp}/old.json", "w", encoding="utf-8") as f:
+        f.write('[{"doc_id":"d","spanId":"s1","page":2},{"doc_id":"e","span_id":"s2"}]')
+    assert sorted(r.span_id for r in logs.scan_corrections(spark, f"{tmp}/old.json").collect()) == ["s1", "s2"]
 
 
 def folded(events):
