@@ -15,7 +15,7 @@ from inkfold.plans import analyze as A
 from inkfold.sources import dictionaries as SD
 
 from . import inputs as I
-from .registry import ORACLES, query
+from .registry import query
 
 _BASE = I.ctes("kana", "words", "terms", "forms")
 _FIRST = (
@@ -44,8 +44,7 @@ def dictionary_match_by_shuffle(spark, sf):
 
 # No span holds white space, so the oracle works on tokens; what a token shows does not depend on its
 # document, because a longer span hides a shorter one only where it stands itself.
-@query(
-    "span_counts",
+_WORDS = (
     f"WITH RECURSIVE {I.ctes('kana', 'grammar', 'terms', 'forms')}, {_FIRST}, "
     "src AS (SELECT k.note_id, string_split(replace(k.text || chr(10) || g.text, chr(10), ' '), ' ') AS ts FROM kana k JOIN grammar g USING (note_id)), "
     "tok0 AS (SELECT note_id, unnest(ts) AS token, unnest(range(0, len(ts))) AS i FROM src), "
@@ -58,12 +57,8 @@ def dictionary_match_by_shuffle(spark, sf):
     "scan AS (SELECT f.token, f.s, f.pos, l.n > length(f.s) AS hidden FROM found f JOIN longest l ON l.token = f.token AND l.pos = f.pos UNION ALL "
     "SELECT p.token, p.s, p.pos, coalesce(l.n, 0) > length(p.s) FROM (SELECT token, s, frm - 1 + instr(substr(token, frm), s) AS pos FROM (SELECT token, s, CASE WHEN hidden THEN pos + 1 ELSE pos + length(s) END AS frm FROM scan) "
     "WHERE instr(substr(token, frm), s) > 0) p LEFT JOIN longest l ON l.token = p.token AND l.pos = p.pos), "
-    "seen AS (SELECT token, s, pos FROM scan WHERE NOT hidden) "
-    "SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(start + pos - 1) AS BIGINT) AS start_sum FROM tok JOIN seen USING (token) GROUP BY 1",
+    "seen AS (SELECT token, s, pos FROM scan WHERE NOT hidden)"
 )
-def span_counts(spark, sf):
-    """Counts of ``span_counts_all`` without symbol runs, which this query's SQL doesn't scan for."""
-    return _counts(_located(spark, sf, lambda found: F.filter(found, lambda x: ~x["f"]["suspect_span"].rlike("^[！？。、…・]+$"))))
 
 
 def span_pages(spark, sf):
@@ -102,7 +97,7 @@ def _counts(located):
 # A symbol run also stands inside longer runs of its document, so runs are met per document; they share no letter with words.
 _RUN = f"'{K.SYMBOL_RUN}'"
 _ALL = (
-    f"{ORACLES['span_counts'].rpartition(' SELECT note_id, count(*) AS n_spans')[0]}, "
+    f"{_WORDS}, "
     f"run AS (SELECT DISTINCT note_id, unnest(regexp_extract_all(token, {_RUN}, 0)) AS s FROM tok), "
     f"place AS (SELECT r.note_id, t.token, r.s FROM run r JOIN (SELECT DISTINCT note_id, token FROM tok WHERE regexp_matches(token, {_RUN})) t ON t.note_id = r.note_id AND contains(t.token, r.s)), "
     "rgreedy AS (SELECT note_id, token, s, instr(token, s) AS pos FROM place UNION ALL SELECT note_id, token, s, pos + length(s) - 1 + instr(substr(token, pos + length(s)), s) FROM rgreedy WHERE instr(substr(token, pos + length(s)), s) > 0), "
@@ -114,12 +109,30 @@ _ALL = (
 )
 
 
+#: CTEs up to ``every`` (note_id, s, begun): the places of all visible spans of the pages of :func:`span_pages`.
+SPANS_SQL = _ALL
+
+
+def located_spans(spark, sf):
+    """(note_id, page, start, end, suspect_span): the same places."""
+    each = _located(spark, sf, lambda found: found).select("note_id", F.explode("w").alias("x"))
+    return each.select("note_id", F.lit(1).alias("page"), F.explode("x.starts").alias("start"), F.col("x.f.suspect_span").alias("suspect_span")).select(
+        "note_id", "page", F.col("start").cast("int").alias("start"), (F.col("start") + F.char_length("suspect_span")).cast("int").alias("end"), "suspect_span"
+    )
+
+
 @query("span_counts_all", f"{_ALL} SELECT note_id, count(*) AS n_spans, count(DISTINCT s) AS n_texts, CAST(sum(begun) AS BIGINT) AS start_sum FROM every GROUP BY 1")
 def span_counts_all(spark, sf):
     """Flagship: detectors and vocabulary in one pass, spans located in the row, counts per document, symbol runs included."""
     return _counts(_located(spark, sf, lambda found: found))
 
 
+@query("span_counts", f"{_ALL} SELECT note_id, s AS suspect_span, count(*) AS n, min(begun) AS first_start FROM every GROUP BY ALL")
+def span_counts(spark, sf):
+    """Places of every span of each document, symbol runs included."""
+    return located_spans(spark, sf).groupBy("note_id", "suspect_span").agg(F.count(F.lit(1)).alias("n"), F.min("start").cast("bigint").alias("first_start"))
+
+
 # --- candidates -----------------------------------------------------------------------
 def spans(spark, sf):
     n = F.char_length("suspect_span")

@@ -14,7 +14,9 @@ from inkfold.operators import particles as PT
 from inkfold.sources import logs
 
 from . import inputs as I
+from .candidate_queries import SPANS_SQL, located_spans
 from .registry import query
+from .text_queries import _KG, _SCAN_TEXT, kana_grammar
 
 _A = f"WITH {I.SQL['actions']}"
 _EXP = "coalesce(rank1FromExperimental, false)"
@@ -289,15 +291,27 @@ def filter_spans(spark, sf):
     return yes.unionByName(X.filter_spans(s, d, "uncorrected").withColumn("corrected", F.lit(False))).select("note_id", "page", "span_id", "corrected")
 
 
-@query("paint_order")
+#: Rounds of doubling in the SQL: chains of up to 2 ** 17 items.
+_ROUNDS = 17
+_PAINT = (
+    f"{SPANS_SQL}, {_KG}, {_SCAN_TEXT}, "
+    "both_ AS (SELECT note_id, begun AS st, begun + length(s) AS en, 0 AS t, 's' || begun AS id FROM every UNION ALL "
+    "SELECT lh.note_id, line_start + pos, line_start + pos + 1, 1, 'particle_' || ch || '_' || CAST(line_start + pos AS INTEGER) FROM lh JOIN lines ON lines.note_id = lh.note_id AND lines.page = lh.page AND lines.line_no = lh.line_no WHERE hit), "
+    "item AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY st, t, en, id) AS k FROM both_), at_ AS (SELECT note_id, st, min(k) AS k FROM item GROUP BY ALL), "
+    "j0 AS (SELECT i.note_id, i.k, a.k AS n FROM item i ASOF JOIN at_ a ON i.note_id = a.note_id AND i.en <= a.st), m0 AS (SELECT DISTINCT note_id, CAST(1 AS BIGINT) AS k FROM item), "
+    + ", ".join(
+        f"m{r + 1} AS (SELECT * FROM m{r} UNION SELECT m.note_id, j.n FROM m{r} m JOIN j{r} j ON j.note_id = m.note_id AND j.k = m.k), "
+        f"j{r + 1} AS (SELECT a.note_id, a.k, b.n FROM j{r} a JOIN j{r} b ON a.note_id = b.note_id AND a.n = b.k)"
+        for r in range(_ROUNDS)
+    )
+)
+
+
+@query("paint_order", f"{_PAINT} SELECT i.note_id, CAST(1 AS INTEGER) AS page, CAST(st AS INTEGER) AS start, CAST(en AS INTEGER) AS \"end\", CASE t WHEN 0 THEN 'analyzed' ELSE 'particle' END AS kind, id FROM item i JOIN m{_ROUNDS} m ON m.note_id = i.note_id AND m.k = i.k")
 def paint_order(spark, sf):
-    """Greedy choice along each page; checked against a plain loop in the tests."""
-    k = I.kana(spark, sf)
-    spans = D.symbol_runs(I.grammar(spark, sf), "text").select("note_id", "page", F.lit("。。。").alias("suspect_span")).distinct()
-    hits = PT.particle_scan(k, None, "text")
-    words = k.select("note_id", "page", F.lit("山に").alias("suspect_span")).unionByName(spans)
-    occ = M.all_occurrences(words.distinct(), k, "text").withColumn("span_id", F.concat(F.lit("s"), F.col("start").cast("string")))
-    return X.paint_order(occ.select("note_id", "page", "start", "end", "span_id"), hits)
+    """Greedy choice along each page among all detected spans and all particle hits."""
+    found = located_spans(spark, sf).withColumn("span_id", F.concat(F.lit("s"), F.col("start").cast("string")))
+    return X.paint_order(found, PT.particle_scan(kana_grammar(spark, sf), None, "text"))
 
 
 # --- governance ---------------------------------------------------------------------------

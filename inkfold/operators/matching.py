@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .. import constants as K
 from ..functions import text as T
@@ -192,46 +194,81 @@ def occurrences(spans: DataFrame, pages: DataFrame, column: str = "clean_text")
     return resume(drop_shadowed(all_occurrences(spans, pages, column)))
 
 
+def _bordered(s: str) -> bool:
+    """Whether a text begins with one of its own ends, so that it can overlap itself."""
+    return any(s.startswith(s[k:]) for k in range(1, len(s)))
+
+
+def _apart(starts: np.ndarray, n: int) -> np.ndarray:
+    """Of rising starts those that begin behind the one kept before."""
+    kept, end = [], -1
+    for s in starts.tolist():
+        if s >= end:
+            kept.append(s)
+            end = s + n
+    return np.array(kept, np.int64)
+
+
+def visible_starts(text: str, names: list[str], forced: list[bool], bigram: list[bool]) -> list[np.ndarray]:
+    """The visible starts of each of a page's distinct texts, by one pass of an automaton of all of them.
+
+    A place is hidden where a longer text starts; a forced letter also where it is the second letter of a bigram. The longest
+    text at a start is a maximum over the matches, so nothing is compared text by text.
+    """
+    automaton = ahocorasick.Automaton()
+    for i, name in enumerate(names):
+        automaton.add_word(name, i)
+    automaton.make_automaton()
+    hits = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+    size = np.array([len(n) for n in names], np.int64)
+    which = hits[:, 1]
+    start = hits[:, 0] - size[which] + 1
+    order = np.lexsort((start, which))
+    which, start = which[order], start[order]
+    edge = np.searchsorted(which, np.arange(len(names) + 1))
+    over = {i: _apart(start[edge[i] : edge[i + 1]], len(n)) for i, n in enumerate(names) if edge[i] < edge[i + 1] and _bordered(n)}
+    # what hides: every match, but of texts that overlap themselves those of a scan without overlap
+    plain = ~np.isin(which, list(over))
+    at = np.concatenate([start[plain], *over.values()])
+    by = np.concatenate([which[plain], *[np.full(len(v), i) for i, v in over.items()]]).astype(np.int64)
+    longest = np.zeros(len(text) + 1, np.int64)
+    np.maximum.at(longest, at, size[by])
+    seen = longest[start] <= size[which]
+    if any(forced) and any(bigram):
+        inside = np.zeros(len(text) + 2, bool)
+        inside[at[np.array(bigram, bool)[by]] + 1] = True
+        seen &= ~(np.array(forced, bool)[which] & (size[which] == 1) & inside[start])
+    out = []
+    for i, name in enumerate(names):
+        own = start[edge[i] : edge[i + 1]][seen[edge[i] : edge[i + 1]]]
+        out.append(_apart(own, len(name)) if i in over else own)
+    return out
+
+
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def _visible(text: pa.Array, names: pa.Array, forced: pa.Array, bigram: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (text, names, forced, bigram)), strict=True)
+    made = [None if t is None or n is None else visible_starts(t, n, f, b) if n else [] for t, n, f, b in rows]
+    return pa.array(made, pa.list_(pa.list_(pa.int32())))
+
+
+#: Evaluated once, where it stands: what follows is not moved before it.
+_visible = _visible.asNondeterministic()
+
+
 def visible_starts_col(text: Column, findings: Column) -> Column:
-    """Give every finding of a page its visible starts, in the row.
+    """Give every finding of a page its visible starts, in the row; findings that are nowhere visible are dropped.
 
-    Two spans starting at one place are prefixes of each other, so only the spans a text is a proper
-    prefix of can hide it; a one-letter forced span is also hidden inside a bigram.
+    Two spans starting at one place are prefixes of each other, so only a longer one can hide a text; a
+    one-letter forced span is also hidden inside a bigram.
     """
-    located = F.transform(
-        findings,
-        lambda f: F.struct(f.alias("f"), T.find_overlapping(text, f["suspect_span"]).alias("starts")),
-    )
-    present = F.transform(
-        F.filter(located, lambda x: F.size(x["starts"]) > 0),
-        lambda x: F.struct(
-            x["f"].alias("f"), x["starts"].alias("starts"),
-            F.when(
-                T.has_border(x["f"]["suspect_span"]),
-                T.greedy_starts(x["starts"], F.char_length(x["f"]["suspect_span"])),
-            ).otherwise(x["starts"]).alias("greedy"),
-        ),
-    )
 
-    def finish(p):
-        def visible(x):
-            span, n = x["f"]["suspect_span"], F.char_length(x["f"]["suspect_span"])
-            longer = F.filter(
-                p, lambda y: (F.char_length(y["f"]["suspect_span"]) > n) & F.startswith(y["f"]["suspect_span"], span)
-            )
-            hidden = F.flatten(F.transform(longer, lambda y: y["greedy"]))
-            tails = F.filter(
-                p, lambda y: y["f"]["bigram"].isNotNull() & (F.substring(y["f"]["suspect_span"], 2, 1) == span)
-            )
-            inside = F.flatten(F.transform(tails, lambda y: F.transform(y["greedy"], lambda s: s + 1)))
-            forced = x["f"]["forced"].isNotNull() & (n == 1)
-            # a bigram starting here hides a forced letter as any longer span does
-            left = F.array_except(x["starts"], F.when(forced, F.concat(hidden, inside)).otherwise(hidden))
-            return F.when(T.has_border(span), T.greedy_starts(left, n)).otherwise(left)
-
-        return F.transform(p, lambda x: F.struct(x["f"].alias("f"), visible(x).alias("starts")))
-
-    return F.filter(T.let(present, finish), lambda x: F.size(x["starts"]) > 0)
+    def located(a):
+        part = lambda get: F.transform(a, get)
+        starts = _visible(text, part(lambda f: f["suspect_span"]), part(lambda f: f["forced"].isNotNull()), part(lambda f: f["bigram"].isNotNull()))
+        return F.zip_with(a, starts, lambda f, s: F.struct(f.alias("f"), s.alias("starts")))
+
+    return F.filter(located(findings), lambda x: F.size(x["starts"]) > 0)
 
 
 def first_reports_col(findings: Column) -> Column:

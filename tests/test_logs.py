@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,24 @@ def test_paint_order(spark):
     assert [r.id for r in X.paint_order(s, h).orderBy("start").collect()] == ["s0", "h4", "s6"]
 
 
+@pytest.mark.parametrize("stretch", [7, 50, 8192])
+def test_paint_order_against_a_plain_loop(spark, stretch):
+    rng = random.Random(stretch)
+    rows = {(n, p): [(a := rng.randint(0, 300), a + rng.choice([1, 1, 2, 5, 40]), rng.randint(0, 1), f"i{k}") for k in range(rng.choice([1, 5, 80]))] for n in range(4) for p in (1, 2)}
+    rows[(9, 1)] = [(0, 1000, 0, "long"), (3, 4, 1, "under"), (999, 1001, 0, "on"), (1000, 1000, 0, "none"), (1000, 1003, 1, "next")]
+    want = set()
+    for (n, p), items in rows.items():
+        cursor = 0
+        for a, b, t, i in sorted(items, key=lambda x: (x[0], x[2], x[1], x[3])):
+            if a >= cursor and b > a:
+                want.add((n, p, a, b, "particle" if t else "analyzed", i))
+                cursor = b
+    flat = [(n, p, *x) for (n, p), items in rows.items() for x in items]
+    part = lambda t, name: spark.createDataFrame([(n, p, a, b, i) for n, p, a, b, k, i in flat if k == t], f"note_id long, page int, start int, end int, {name} string")
+    got = X.paint_order(part(0, "span_id"), part(1, "id"), stretch)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_json_export_reads_back_whole(spark, tmp):
     rows = [("d", 1, f"p1_o0_s{i}", i, "語", f"候{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id string, page int, span_id string, occurrence_index int, suspect_span string, selected_candidate string").withColumn("ord", F.col("occurrence_index"))
