@@ -119,8 +119,7 @@ def frontmatter_rows(notes: DataFrame, fence: str = "line") -> DataFrame:
 def find_notes(notes: DataFrame, queries: DataFrame, frontmatter: DataFrame | None = None) -> DataFrame:
     """Best note per query (query): id, name, path, path without .md, part of name, part of path.
 
-    The exact rules are equi joins.  Queries they leave open are met by their rarest three-letter piece; the
-    least path per query is kept.
+    All rules are equi joins, those by parts on pieces of just the lengths that are asked for; the least path per query is kept.
     """
     q = queries.select("query", T.nfc(F.col("query")).alias("_q"))
     n = notes.select("note_id", "path", "name")
@@ -147,25 +146,25 @@ def _pieces(text, size: int):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
 
 
-def _parts_of(notes: DataFrame, queries: DataFrame, column: str, rule: int, size: int = 3) -> DataFrame:
-    """Notes whose ``column`` holds the query text ``_s``: query, rule, path, note_id.
+def _parts_of(notes: DataFrame, queries: DataFrame, column: str, rule: int) -> DataFrame:
+    """The least (path, note_id) of the notes whose ``column`` holds the query text ``_s``: query, rule, path, note_id.
 
-    Both sides are cut into pieces of ``size`` letters. A query is joined on its rarest piece alone, and what
-    that finds is compared as a whole. Shorter queries are joined on pieces of their own length; an empty one is
-    part of every note, of which only the first can win.
+    A note gives its pieces of just the lengths that queries have; the least note of each piece is kept before the shuffle as well as
+    after it, and a query is equi joined on its whole text. So a query meets one row, and nothing is compared afterwards.
+    An empty query is part of every note, of which only the first can win.
     """
     first = notes.agg(F.min(F.struct("path", "note_id")).alias("m")).withColumn("_s", F.lit(""))
     out = queries.join(first, "_s").select("query", F.lit(rule).alias("rule"), "m.path", "m.note_id")
-    for n in range(1, size + 1):
-        long = F.char_length("_s")
-        asked = queries.where(long >= n if n == size else long == n)
-        made = notes.where(F.char_length(column) >= n).select("note_id", "path", F.col(column).alias("_c"), F.explode(_pieces(F.col(column), n)).alias("piece"))
-        common = made.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        cut = asked.select("query", "_s", F.explode(_pieces(F.col("_s"), n)).alias("piece")).join(common, "piece", "left")
-        rarest = cut.groupBy("query", "_s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).select("query", "_s", F.col("r.piece").alias("piece"))
-        met = rarest.join(made, "piece").where(F.contains("_c", "_s"))
-        out = out.unionByName(met.select("query", F.lit(rule).alias("rule"), "path", "note_id"))
-    return out
+    # distinct lengths: no more than the longest name or path has letters
+    longest = notes.agg(F.max(F.char_length(column))).first()[0] or 0
+    lengths = [r.n for r in queries.select(F.char_length("_s").alias("n")).where((F.col("n") > 0) & (F.col("n") <= longest)).distinct().collect()]
+    if not lengths:
+        return out
+    of_length = lambda n: F.when(F.char_length(column) >= n, _pieces(F.col(column), n))
+    pieces = F.flatten(F.filter(F.array(*[of_length(n) for n in sorted(lengths)]), lambda p: p.isNotNull()))
+    made = notes.select("note_id", "path", F.explode(pieces).alias("_s"))
+    least = made.groupBy("_s").agg(F.min(F.struct("path", "note_id")).alias("m"))
+    return out.unionByName(queries.join(least, "_s").select("query", F.lit(rule).alias("rule"), "m.path", "m.note_id"))
 
 
 def image_links(notes: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from inkfold.operators import governance as G
 from inkfold.operators import metrics as MT
 from inkfold.sources import logs
 from inkfold.streaming import jobs
+from inkfold.streaming import registration as RG
 
 
 def write(path, lines):
@@ -187,3 +188,76 @@ def test_registration_fold_with_one_frequent_term(spark):
         df = spark.createDataFrame([("f", *e) for e in events], "file string, term string, op string, normalized string, enabled boolean, ts timestamp, seq long")
         got = {r.term: (r.normalized, r.enabled, r.approval_count) for r in G.approval_fold(df).collect()}
         assert got == folded(events)
+
+
+# --- state that late events and failures don't disturb -------------------------------------------
+def plain_state(events):
+    state = None
+    for e in sorted(events, key=lambda e: (e.ts, e.seq)):
+        norm = None if e.normalized is None else e.normalized.strip()
+        if e.op == "register":
+            state = [True, norm or "", 0, e.ts, e.ts] if state is None else [True, state[1], state[2] + 1, state[3], e.ts]
+        elif state and e.op == "toggle":
+            state[0] = state[0] if e.enabled is None else e.enabled
+        elif state and e.op == "update":
+            if norm is not None and norm != state[1]:
+                state[1], state[2] = norm, 0
+            state[0] = state[0] if e.enabled is None else e.enabled
+            state[4] = e.ts
+    return state and tuple(state)
+
+
+def test_changes_compose_in_any_grouping():
+    rng = random.Random(3)
+    for _ in range(1500):
+        n = rng.randint(0, 12)
+        events = [RG.Event(k, k, rng.choice(["register", "update", "toggle", "other"]), rng.choice([None, "a", "b", " a "]), rng.choice([None, True, False])) for k in range(n)]
+        cut = sorted(rng.randint(0, n) for _ in range(3))
+        parts = [RG.folded(map(RG.change_of, events[a:b])) for a, b in zip([0, *cut], [*cut, n], strict=True)]
+        assert parts[0].then(parts[1]).then(parts[2].then(parts[3])).born == plain_state(events)
+        start = RG.State(True, "a", 3, -5, -4)
+        assert RG.load_change(RG.dump(parts[2])).applied(start) == parts[2].applied(start)
+
+
+def test_late_batches_and_a_hot_term(spark, tmp):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    t0 = datetime(2026, 1, 1)
+    rows = [("f", "hot" if i % 10 else f"t{i % 3}", rng.choice(["register", "register", "update", "toggle"]), rng.choice(["a", "b", None]), rng.choice([True, False, None]), t0 + timedelta(minutes=7 * i), i) for i in range(400)]
+    want = {r.term: (r.approval_count, r.enabled, r.normalized, r.registered_at, r.last_seen_at) for r in G.approval_fold(spark.createDataFrame(rows, REG)).collect()}
+    rng.shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], REG).coalesce(1).write.parquet(f"{tmp}/ev/b{k}")
+    stream = spark.readStream.schema(REG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp}/ev")
+    jobs.approval_stream(stream, f"{tmp}/ck", path=f"{tmp}/state").awaitTermination()
+    got = {}
+    for r in spark.read.parquet(f"{tmp}/state").orderBy("batch").collect():
+        got[r.term] = (r.approval_count, r.enabled, r.normalized, r.registered_at, r.last_seen_at)
+    assert spark.read.parquet(f"{tmp}/state").select("batch").distinct().count() == 4
+    assert got == want
+
+
+def test_a_retry_in_a_later_batch_is_dropped(spark, tmp):
+    one, two = ({"event": "span_accepted", "ts": f"2026-05-01T10:0{i}:00", "spanId": f"s{i}"} for i in (1, 2))
+    write(f"{tmp}/in/a.jsonl", [one, one])
+    route = lambda: jobs.route_stream(jobs.read_actions_stream(spark, f"{tmp}/in"), f"{tmp}/out", f"{tmp}/ck", dedupe=True).awaitTermination()
+    route()
+    write(f"{tmp}/in/b.jsonl", [one, two, {"event": "x", "ts": "no time"}, {"event": "x", "ts": "no time"}])
+    route()
+    got = spark.read.json(f"{tmp}/out").groupBy("event", "spanId").count().collect()
+    assert sorted((r.event, r.spanId or "", r["count"]) for r in got) == [("span_accepted", "s1", 1), ("span_accepted", "s2", 1), ("x", "", 1)]
+
+
+def test_a_failed_write_leaves_no_version(spark, tmp):
+    a = spark.createDataFrame([(i,) for i in range(20)], "i int")
+    assert logs.write_version(a, f"{tmp}/d") == 1
+    fail = F.when(F.col("i") == 13, F.raise_error(F.lit("lost"))).otherwise(F.col("i"))
+    with pytest.raises(Exception, match="lost"):
+        logs.write_version(a.repartition(5).select(fail.cast("int").alias("i")), f"{tmp}/d")
+    assert logs.versions(spark, f"{tmp}/d") == [1] and logs.read_version(spark, f"{tmp}/d").count() == 20
+    assert logs.write_version(a.union(a), f"{tmp}/d") == 2 and logs.read_version(spark, f"{tmp}/d").count() == 40
+    # a second writer that published the same number first
+    os.makedirs(f"{tmp}/d/v=3,data-0")
+    a.write.parquet(f"{tmp}/d/data-0")
+    assert logs.write_version(a, f"{tmp}/d") == 4
