@@ -131,19 +131,23 @@ def body_tokens(spark, sf):
 
 @query(
     "party_confirm",
-    f"{_P}, tok AS (SELECT note_id, ocr, unnest(['村山人民', '山会村論', lang || '山会']) AS token FROM page1), w AS (SELECT note_id, ocr, substr(replace(ocr, chr(10), ''), 1, 6) AS token FROM page1 WHERE length(replace(ocr, chr(10), '')) >= 6 UNION ALL SELECT note_id, ocr, token FROM tok WHERE length(token) >= 4) "
-    "SELECT note_id, token AS suspect_span FROM w WHERE contains(ocr, token) UNION ALL SELECT note_id, string_split(ocr, chr(10))[1] FROM w WHERE NOT contains(ocr, token) AND token = substr(replace(ocr, chr(10), ''), 1, 6)",
+    f"{_P}, tok AS (SELECT note_id, ocr, unnest(['村山人民', '山会村論']) AS token FROM page1), w AS (SELECT note_id, ocr, substr(replace(ocr, chr(10), ''), 1, 6) AS token FROM page1 WHERE length(replace(ocr, chr(10), '')) >= 6 UNION ALL SELECT note_id, ocr, token FROM tok WHERE length(token) >= 4), "
+    "two AS (SELECT note_id FROM page1) "
+    "SELECT note_id, 1 AS page, token AS suspect_span FROM w WHERE contains(ocr, token) UNION ALL SELECT note_id, 1, string_split(ocr, chr(10))[1] FROM w WHERE NOT contains(ocr, token) AND token = substr(replace(ocr, chr(10), ''), 1, 6) "
+    # 村山人民 stands over a line end on page 2, 山会村論 in one line
+    "UNION ALL SELECT note_id, 2, '村山' FROM two UNION ALL SELECT note_id, 2, '山会村論' FROM two",
 )
 def party_confirm(spark, sf):
-    """Names from the frontmatter, and the first six letters of each page, which may span lines."""
+    """Names from the frontmatter on two pages of text, and the first six letters of each first page, which may span lines."""
     from inkfold.operators import detectors as D
 
     n = I.notes(spark, sf)
-    pages = P.ocr_pages(n).where("page = 1").withColumnRenamed("ocr_text", "clean_text")
+    n = n.withColumn("md", F.concat("md", F.lit("> [!ocr]\n> 論ハ村山\n> 人民ヘ山会村論ト\n")))
+    pages = P.ocr_pages(n).withColumnRenamed("ocr_text", "clean_text")
     first = F.substring(F.replace("clean_text", F.lit("\n"), F.lit("")), 1, 6)
-    own = pages.where(F.char_length(first) >= 6).select("note_id", first.alias("token"), F.array(F.lit("frontmatter:judge")).alias("sources"), F.lit(9).cast("bigint").alias("ord"))
+    own = pages.where((F.col("page") == 1) & (F.char_length(first) >= 6)).select("note_id", first.alias("token"), F.array(F.lit("frontmatter:judge")).alias("sources"), F.lit(9).cast("bigint").alias("ord"))
     listed = H.frontmatter_tokens(N.frontmatter_rows(n)).select("note_id", "token", "sources", "ord")
-    return D.frontmatter_confirm(pages, listed.unionByName(own)).select("note_id", "suspect_span")
+    return D.frontmatter_confirm(pages, listed.unionByName(own)).select("note_id", "page", "suspect_span")
 
 
 # --- images and search -----------------------------------------------------------------------------
@@ -197,14 +201,27 @@ def find_notes(spark, sf):
     return N.find_notes(n, q, N.frontmatter_rows(n)).select("query", "note_id", "rule")
 
 
+_RESCAN = "p AS (SELECT doc_id, 'd/' || lang || '/n' || doc_id AS path, 'n' || doc_id AS name FROM documents)"
+
+
 @query(
     "rescan_diff",
-    "WITH p AS (SELECT doc_id, 'd/' || lang || '/n' || doc_id AS path FROM documents) SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS added, count(*) FILTER (WHERE doc_id % 5 = 0 AND doc_id % 4 <> 0) AS removed, count(*) FILTER (WHERE NOT (doc_id % 5 = 0 AND doc_id % 4 <> 0)) AS total FROM p",
+    f"WITH {_RESCAN} SELECT count(*) FILTER (WHERE doc_id % 4 = 0) AS added, count(*) FILTER (WHERE doc_id % 5 = 0 AND doc_id % 4 <> 0) AS removed, count(*) FILTER (WHERE NOT (doc_id % 5 = 0 AND doc_id % 4 <> 0)) AS total FROM p",
 )
 def rescan_diff(spark, sf):
+    return _rescanned(spark, sf)[1]
+
+
+def _rescanned(spark, sf):
     n = I.notes(spark, sf).select("note_id", "path", "name")
     old, new = n.where("note_id % 4 <> 0"), n.where("NOT (note_id % 5 = 0 AND note_id % 4 <> 0)")
-    return N.rescan_diff(old, new)[1]
+    return N.rescan_diff(old, new)
+
+
+@query("rescan_added", f"WITH {_RESCAN} SELECT path, name FROM p WHERE doc_id % 4 = 0")
+def rescan_added(spark, sf):
+    """The notes that a new scan finds and an old one doesn't."""
+    return _rescanned(spark, sf)[0]
 
 
 @query(

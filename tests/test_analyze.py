@@ -54,6 +54,29 @@ def test_analyze_and_events(spark):
     assert dots.proper_noun_candidates == want["。。。"] and dots.rank1_is_proper_noun
 
 
+def test_incremental_analysis_with_changes_and_deletions(spark, tmp):
+    from inkfold.streaming import jobs
+
+    schema = "note_id string, name string, md string, ord long"
+    cfg = config(spark)
+    other = MD.replace("申立レ共", "申立候").replace("三河", "伊勢")
+    batches = [
+        [("n1", "n1", MD, 1), ("n2", "n2", MD, 1), ("n3", "n3", other, 1)],
+        [("n1", "n1", MD, 2), ("n2", "n2", MD, 2), ("n2", "n2", other, 3)],  # one unchanged, one changed twice
+        [("n3", "n3", None, 4), ("n4", "n4", MD, 4)],
+    ]
+    counts = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp}/in/b{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp}/in")
+        jobs.analyze_stream(stream, cfg, f"{tmp}/out", f"{tmp}/ck").awaitTermination()
+        counts.append(spark.read.parquet(f"{tmp}/out/notes/batch={k}").count())
+    assert counts == [3, 1, 2]  # what came again unchanged was not analyzed again
+    final = spark.createDataFrame([("n1", "n1", MD), ("n2", "n2", other), ("n4", "n4", MD)], "note_id string, name string, md string")
+    key = lambda df: sorted((r.note_id, r.page, r.start, r.suspect_span, tuple(r.candidates)) for r in df.collect())
+    assert key(jobs.current_spans(spark, f"{tmp}/out")) == key(A.analyze(final, cfg))
+
+
 def test_visible_starts_match_row_operators(spark):
     rnd = random.Random(3)
     rows = [(i, 1, "".join(rnd.choice("あいう。") for _ in range(40))) for i in range(12)]
