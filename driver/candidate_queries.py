@@ -226,7 +226,7 @@ _RANKED = (
 def _ranked(spark, sf, **kw):
     s, scored = _scored(spark, sf)
     h = I.hints(spark, sf)
-    both = C.hint_boost(scored, h).unionByName(C.bonus_only(s, scored, h))
+    both = C.hint_boost(scored, h).unionByName(C.bonus_only(s, scored, h, k=K.TOP_K))
     # hints of one length share their order, so the text decides last on both sides
     names = both.withColumn("ord", F.struct("ord", "candidate"))
     return C.rank_candidates(names, spans=s, **kw)

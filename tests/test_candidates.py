@@ -1,5 +1,7 @@
 """Candidate rules on hand-checked rows."""
 
+from pyspark.sql import functions as F
+
 from inkfold.operators import candidates as C
 from inkfold.operators import matching as M
 
@@ -61,3 +63,18 @@ def test_dictionary_match_paths_agree(spark):
     a = {(r.note_id, r.page, r.suspect_span) for r in M.dictionary_match(p, f).collect()}
     b = {(r.note_id, r.page, r.suspect_span) for r in M.dictionary_match(p, f, hint="merge").collect()}
     assert a == b == {("n", 1, "山"), ("n", 1, "村人"), ("n", 1, "村"), ("n", 1, "山諍"), ("m", 1, "申立")}
+
+
+def test_the_best_of_a_long_menu(spark):
+    """A span's own candidates fill the front of its menu; the best others are found behind them."""
+    hints = spark.createDataFrame([("n", f"三{chr(0x4E00 + i)}", 20.0 + (i % 7), True, False, i) for i in range(300)], "note_id string, term string, bonus double, is_proper boolean, is_geo boolean, ord long")
+    spans = spark.createDataFrame([("n", 1, "甲乙"), ("n", 1, "丙丁"), ("n", 1, "あい")], "note_id string, page int, suspect_span string")
+    best = sorted(hints.collect(), key=lambda r: (-min(r.bonus, 25.0), r.ord, r.term))
+    own = [r.term for r in best[:40]] + ["別", "物"]
+    cands = spark.createDataFrame([("n", 1, "甲乙", c, 1.0, 1, False) for c in own], "note_id string, page int, suspect_span string, candidate string, score double, ord long, bonus_only boolean")
+    for k in (1, 5, 8, 9):
+        got = {}
+        for r in C.bonus_only(spans, cands, hints, k=k).orderBy("suspect_span", F.desc("score"), "ord").collect():
+            got.setdefault(r.suspect_span, []).append(r.candidate)
+        assert got == {"甲乙": [r.term for r in best[40 : 40 + k]], "丙丁": [r.term for r in best[:k]]}
+    assert C.bonus_only(spans, cands, hints).count() == 300 + 260
