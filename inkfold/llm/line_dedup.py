@@ -84,7 +84,7 @@ def _places(blocks: DataFrame, doc: int, text: int, wanted: bool) -> DataFrame:
     return blocks.mapInArrow(run, f"block long, row int, {PLACE}, chunk binary" + ", body binary" * wanted)
 
 
-def _rewritten(at: int, length: int | None):
+def _rewritten(at: int, length: int | None, counts: list[str]):
     """Blocks with (row, first line) of what goes to their rows with the new texts, and the counts of lines."""
 
     def run(batches):
@@ -104,7 +104,7 @@ def _rewritten(at: int, length: int | None):
                 columns[at] = pa.array(texts, rows.schema.field(at).type)
                 if length is not None:
                     columns[length] = pa.array([None if t is None else len(t) for t in texts], rows.schema.field(length).type)
-                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, N_LINES, N_REMOVED])
+                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, *counts])
 
     return run
 
@@ -134,14 +134,22 @@ def _removals(blocks: DataFrame, doc: int, text: int) -> DataFrame:
 N_LINES, N_REMOVED = "_n_lines", "_n_removed"
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it where a column of the documents has it."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns and two more: lines before, lines removed."""
+    """The documents with all their columns and two more: lines before, lines removed (``N_LINES`` and ``N_REMOVED`` where these are free)."""
     text, doc = docs.columns.index("text"), docs.columns.index("doc_id")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     rows = blocks.lay_out(docs, text)
     removals = store.written(_removals(rows, doc, text))
-    schema = T.StructType([*docs.schema.fields, T.StructField(N_LINES, T.LongType()), T.StructField(N_REMOVED, T.LongType())])
-    return rows.join(removals, "block", "left").select("payload", "found").mapInArrow(_rewritten(text, length), schema)
+    counts = [_free(c, docs.columns) for c in (N_LINES, N_REMOVED)]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+    return rows.join(removals, "block", "left").select("payload", "found").mapInArrow(_rewritten(text, length, counts), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -211,7 +211,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 5, likeness: float = 0.8) -> DataFrame:
     """One row of each group of rows whose sets of ``shingle`` words are alike (see ``shingles``); rows of null doc_id stay.
 
-    Three bits of radius find but a part of such pairs, so this doesn't rest on the fingerprints of ``near_duplicates``.
+    The fingerprints of ``near_duplicates`` find but a part of such pairs in three bits; these are longer, and what they find is compared exactly.
     """
-    named = shingles.keep_one(docs.where("doc_id IS NOT NULL"), shingle, likeness)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    return shingles.keep_one(docs, shingle, likeness)
