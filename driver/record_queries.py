@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as T
+from inkfold.functions.rows import unfolded
 from inkfold.operators import numbering
 from inkfold.session import written
 from inkfold.sources import dictionaries as SD
@@ -32,7 +33,7 @@ def csv_lines(records, headers):
     """
     spark = records.sparkSession
     heads = spark.createDataFrame([(f, -7, h) for f, h in headers.items()], "file string, ord long, text string")
-    lines = heads.unionByName(records).select("file", "ord", F.posexplode(F.split("text", "\n", -1)).alias("pos", "value"))
+    lines = unfolded(heads.unionByName(records), ["file", "ord"], F.split("text", "\n", -1), "value", "pos")
     cut = ((F.pmod("ord", F.lit(7)) == 6) & (F.col("pos") >= 2)).cast("long")
     return lines.select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value")
 
@@ -154,7 +155,7 @@ def _json_pieces(spark, sf):
     item = F.when(i % 40 == 7, F.replace(item, F.lit('"page":'), F.lit('"page" '))).otherwise(item)
     text = F.concat(F.when(i < 2, F.lit("[ ")).otherwise(F.lit(" ,\n")), item)
     parts = F.split(text, "}", -1)
-    rows = c.select((i % 2).cast("string").alias("file"), "ord", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("pos", "value"))
+    rows = unfolded(c, [(i % 2).cast("string").alias("file"), "ord"], F.slice(parts, F.lit(1), F.size(parts) - 1), "value", "pos")
     ends = c.groupBy((i % 2).cast("string").alias("file")).agg((F.max("ord") + 2).alias("ord")).select("file", "ord", F.lit(0).alias("pos"), F.lit("]\n").alias("value"))
     cut = ((F.pmod("ord", F.lit(7)) == 6) & (F.col("pos") >= 2)).cast("long")
     return rows.unionByName(ends).select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value")
