@@ -65,3 +65,10 @@ def test_no_particle_hit_lies_in_a_phrase(spark):
     kk = re.compile(f"(?<=[{K.KANJI_KATA}])[にをは](?=[{K.KANJI_KATA}])")
     want = sorted((i, m.start()) for i, _, t in rows for m in kk.finditer(t))
     assert sorted((r.note_id, r.start) for r in hits.collect()) == want
+
+
+def test_matches_with_what_stands_around(spark):
+    df = spark.createDataFrame([("人に会に社",), ("",), (None,)], "t string")
+    found = df.select(T.matches(F.col("t"), "(?<=[人会])に", width=2).alias("m")).collect()
+    assert [tuple(x) for x in found[0].m] == [(1, "に", "人", "会に"), (3, "に", "に会", "社")]
+    assert found[1].m == [] and found[2].m == []
