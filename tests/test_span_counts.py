@@ -61,3 +61,17 @@ def test_entry_counts_symbol_runs(spark):
         assert runs
         assert {s: v for s, v in w.items() if s[0] in "！？。、…・"} == {s: (sum(t == s for _, t in runs), min(a for a, t in runs if t == s)) for s in {s for _, s in runs}}
         assert (g.n_spans, g.n_texts) == (sum(n for n, _ in w.values()), len(w))
+
+
+def test_first_of_equal_texts_counts():
+    """Reports need not be told apart before: of equal texts the first has the starts, later and empty ones none."""
+    got = M.visible_starts("山に村山に", ["山", "", "山に", "山", "村", "山に"], [False] * 6, [False] * 6)
+    assert [g.tolist() for g in got] == [[], [], [0, 3], [], [2], []]
+
+
+def test_arrays_are_computed_once(spark):
+    """An inner explode is filtered on its array's size, which computes the array again before the rows are dealt out."""
+    from driver import inputs as I
+
+    plan = I.words(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
