@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
         end = np.array([end_id], "<u4")
         for batch in batches:
             keys = batch.column(0)
-            for lo, hi, data, offs in scan.slices(batch.column(1)):
+            for lo, hi, data, offs in scan.slices(batch.column(1), scan.PART):
                 ids, at = enc.encode(data, offs)
                 wide = ids.astype("<u4")
                 row, piece, start, length, crc = [], [], [], [], []

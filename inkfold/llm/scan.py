@@ -13,6 +13,8 @@ import pyarrow as pa
 
 U = np.uint64
 SLICE = 1 << 20
+#: Bytes of text that ``map_text`` and ``filter_text`` hand over at once: what a function makes of them is many times as large.
+PART = 1 << 18
 #: Multiplier of the polynomial hash over bytes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C55
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -205,7 +207,7 @@ def map_text(df, per_slice, schema, *, keep: list[str], text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(batch.num_columns - 1)):
+            for lo, hi, data, offs in slices(batch.column(batch.num_columns - 1), PART):
                 rows = batch.slice(lo, hi - lo)
                 made = per_slice(data, offs, rows.column(batch.num_columns - 1))
                 arrays = [rows.column(i) for i in range(len(keep))]
@@ -221,7 +223,7 @@ def filter_text(df, keep, text: str = "text"):
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offs in slices(batch.column(at)):
+            for lo, hi, data, offs in slices(batch.column(at), PART):
                 yield batch.slice(lo, hi - lo).filter(pa.array(keep(data, offs)))
 
     return df.mapInArrow(run, df.schema)

@@ -109,3 +109,16 @@ def test_lookalike_letters_are_seen_through():
     assert x[:, 8].tolist() == [1, 0, 0, 0]  # hidden
     assert x[:, 0].tolist() == [0, 1, 0, 1]
     assert x[:, 6].tolist() == [0, 0, 0, 1]  # near a second person
+
+
+def test_texts_are_handed_over_in_small_parts(spark):
+    docs = spark.createDataFrame([(i, "word%d " % (i % 7) * 5000) for i in range(100)], "doc_id long, text string").coalesce(1)
+    sizes = scan.map_text(docs, lambda data, offs, _: {"n": np.full(len(offs) - 1, len(data))}, "doc_id long, n long", keep=["doc_id"])
+    assert {r.doc_id for r in sizes.collect()} == set(range(100))
+    assert max(r.n for r in sizes.collect()) <= 300_000
+
+    def small(data, offs):
+        assert len(data) <= 300_000
+        return np.ones(len(offs) - 1, bool)
+
+    assert scan.filter_text(docs, small).count() == 100
