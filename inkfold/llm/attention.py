@@ -72,8 +72,10 @@ _SEEN = (np.arange(WIDTH)[:, None] >= np.arange(WIDTH)[None, :]).astype(f4)
 
 def hidden(model, now: np.ndarray, last: np.ndarray, keep: dict | None = None) -> np.ndarray:
     """Vectors (windows, positions, DIM) of rows of ids and of the ids before them; ``keep`` gets what the gradients need."""
-    h = model["now"][now] + model["last"][last]
-    q, k, v = (h @ model[x] for x in ("q", "k", "v"))
+    shape = (*now.shape, DIM)
+    h = np.take(model["now"], now.ravel(), axis=0)
+    h += np.take(model["last"], last.ravel(), axis=0)
+    q, k, v = ((h @ model[x]).reshape(shape) for x in ("q", "k", "v"))
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= f4(DIM**-0.5)
     a += model["far"][_DISTANCE]
@@ -81,12 +83,12 @@ def hidden(model, now: np.ndarray, last: np.ndarray, keep: dict | None = None) -
     np.exp(a, out=a)
     a *= _SEEN
     a /= a.sum(axis=2, keepdims=True)
-    met = np.matmul(a, v)
+    met = np.matmul(a, v).reshape(-1, DIM)
     h1 = h + met @ model["o"]
     z = h1 @ model["in"]
     z += model["shift"]
     np.maximum(z, 0, out=z)
-    h2 = h1 + z @ model["out"]
+    h2 = (h1 + z @ model["out"]).reshape(shape)
     if keep is not None:
         keep.update(h=h, q=q, k=k, v=v, a=a, met=met, h1=h1, z=z)
     return h2
@@ -226,27 +228,28 @@ def gradients(model, code: Codes, now: np.ndarray, last: np.ndarray, then: np.nd
             back[at] += y.T @ model["place"][c].T
     d2 = np.zeros_like(h2)
     d2[on] = back
-    flat = lambda v: v.reshape(-1, v.shape[-1])
-    z, h1, a, v, q, k = (kept[i] for i in ("z", "h1", "a", "v", "q", "k"))
+    # rows of one position each, so that a product is one call
+    d2, shape = d2.reshape(-1, DIM), h2.shape
+    z, h1, a, v, q, k, met, h0 = (kept[i] for i in ("z", "h1", "a", "v", "q", "k", "met", "h"))
     dz = (d2 @ model["out"].T) * (z > 0)
-    g["out"], g["in"], g["shift"] = flat(z).T @ flat(d2), flat(h1).T @ flat(dz), flat(dz).sum(axis=0)
+    g["out"], g["in"], g["shift"] = z.T @ d2, h1.T @ dz, dz.sum(axis=0)
     d1 = d2 + dz @ model["in"].T
-    dmet = d1 @ model["o"].T
-    g["o"] = flat(kept["met"]).T @ flat(d1)
+    g["o"] = met.T @ d1
+    dmet = (d1 @ model["o"].T).reshape(shape)
     da = np.matmul(dmet, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dmet)
+    dv = np.matmul(a.transpose(0, 2, 1), dmet).reshape(-1, DIM)
     ds = a * (da - (da * a).sum(axis=2, keepdims=True))
     g["far"] = np.bincount(_DISTANCE.ravel(), (ds.sum(axis=0) * _SEEN).ravel(), WIDTH).astype(f4)
     ds *= f4(DIM**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
+    dq, dk = np.matmul(ds, k).reshape(-1, DIM), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM)
     d0 = d1 + dq @ model["q"].T + dk @ model["k"].T + dv @ model["v"].T
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(kept["h"]).T @ flat(d)
+        g[name] = h0.T @ d
     sparse = {}
     for name, rows in (("now", n1.ravel()), ("last", n0.ravel())):
         order = np.argsort(rows, kind="stable")
         kinds, at = np.unique(rows[order], return_index=True)
-        sparse[name] = (kinds, np.add.reduceat(flat(d0)[order], at, axis=0))
+        sparse[name] = (kinds, np.add.reduceat(d0[order], at, axis=0))
     return float(loss) / n, g, sparse
 
 

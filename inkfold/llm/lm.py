@@ -4,10 +4,10 @@ The corpus is read once: texts become blocks of ids and of word numbers, in a bu
 texts, the count of every id and of every word. Words are counted by 64-bit hashes (of lower-cased A-Z), per block first, so that a word has at most one row
 a block; the counts return to the blocks in the order of their words, and no word or text is looked up twice.
 
-The model (``attention``) takes its classes of ids and the start of its biases from the counts of all training texts. It is trained in two steps:
+The model (``attention``) takes its classes of ids and the start of its biases from the counts of all training texts, and is trained on all of them in two steps:
 on a primer of about ``PRIMER`` bytes, chosen by a hash of doc_id, in one place; then every learner takes a lesson
-of about ``LESSON`` ids, starts from the primed model, and the learners' tables are averaged by their lessons' lengths. The lessons are a fixed share of the training
-texts, so what is learned from grows with the corpus, and so does the number of learners. Texts are scored block by block.
+of about ``LESSON`` ids, starts from the primed model, and the learners' tables are averaged by their lessons' lengths. The lessons are all other training
+texts, so each training text is learned from; they are read from the blocks where these lie, and a task gives one sum. Texts are scored block by block.
 
 Ids are those of the tokenizer, which ignores case and the kind of white space; the end of a text is an id of its own.
 
@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from inkfold.llm import attention, blocks, lexicon, scan, store, units
 
-#: Bytes of text in a block; bytes and positions of the primer, which is met ``EPOCHS`` times at most; share of the training texts in lessons, ids of one, and the rates of both steps.
-BLOCK, PRIMER, POSITIONS, SHARE, LESSON = 8 << 20, 6_000_000, 1_500_000, 1 / 64, 500_000
-EPOCHS, RATES = 4, (0.5, 0.1)
+#: Bytes of text in a block; bytes and positions of the primer, which is met once at least and ``EPOCHS`` times at most; share of the training texts in lessons (with 1 all but
+#: the primer), ids of one; the rates of both steps, and windows a lesson takes at once.
+BLOCK, PRIMER, POSITIONS, SHARE, LESSON = 8 << 20, 6_000_000, 1_500_000, 1.0, 500_000
+EPOCHS, RATES, TOGETHER = 4, (0.5, 0.2), 192
 #: Ids that are scored in one call.
 PART = 1 << 19
 #: Numbers of a model in one row on their way to the average.
@@ -39,7 +40,7 @@ CHUNK = 8192
 HELD = 1
 _END = scan.mix(np.array([0xE2D], scan.U)).view(np.int64)[0]
 TRAIN, IN_PRIMER, IN_LESSON = 1, 2, 3
-NAMES = ["block", "payload", "keys", "counts", "ids", "id_counts", "tokens", "primer", "lesson", "lesson_ids"]
+NAMES = ["block", "payload", "keys", "counts", "ids", "id_counts", "tokens", "primer", "lesson_ids"]
 _KINDS = pa.schema([(n, pa.int64() if n in ("block", "tokens", "lesson_ids") else pa.binary()) for n in NAMES])
 
 
@@ -85,13 +86,11 @@ def _block(number: int, end: int, parts: list[tuple]) -> pa.RecordBatch:
     id_counts[end] += learned.sum()
     seen = np.flatnonzero(id_counts)
 
-    def of(role):
-        rows = np.flatnonzero(roles == role).tolist()
-        return _texts([ids[id_at[i] : id_at[i + 1]] for i in rows], [int(id_len[i]) for i in rows], ids.dtype), int(id_len[roles == role].sum())
-
-    payload = blocks.pack(pa.RecordBatch.from_arrays([doc_ids, _listed(ids, id_at), _listed(at[:-1].astype(np.uint32), word_at)], ["doc_id", "ids", "words"]))
-    primer, (lesson, n) = of(IN_PRIMER)[0], of(IN_LESSON)
-    values = [number, payload, keys.tobytes(), counts.astype(np.int64).tobytes(), seen.astype(np.int64).tobytes(), id_counts[seen].astype(np.int64).tobytes(), int(counts.sum()), primer, lesson, n]
+    first = np.flatnonzero(roles == IN_PRIMER).tolist()
+    primer = _texts([ids[id_at[i] : id_at[i + 1]] for i in first], [int(id_len[i]) for i in first], ids.dtype)
+    payload = blocks.pack(pa.RecordBatch.from_arrays([doc_ids, _listed(ids, id_at), _listed(at[:-1].astype(np.uint32), word_at), pa.array(roles.astype(np.int8))], ["doc_id", "ids", "words", "role"]))
+    n = int(id_len[roles == IN_LESSON].sum() + (roles == IN_LESSON).sum())
+    values = [number, payload, keys.tobytes(), counts.astype(np.int64).tobytes(), seen.astype(np.int64).tobytes(), id_counts[seen].astype(np.int64).tobytes(), int(counts.sum()), primer, n]
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _KINDS, strict=True)], schema=_KINDS)
 
 
@@ -190,28 +189,50 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
+def _lessons_of(payload: bytes, size: int):
+    """(ids, lengths) of the lesson texts of a block, in parts of at most ``size`` ids; a longer text is a part of its own."""
+    rows = blocks.unpack(payload)
+    column, chosen = rows.column(1), rows.column(3).to_numpy() == IN_LESSON
+    lens = np.diff(column.offsets.to_numpy())
+    ids, lens = column.values.to_numpy()[np.repeat(chosen, lens)], lens[chosen]
+    offs, lo = np.r_[0, np.cumsum(lens)], 0
+    while lo < len(lens):
+        hi = min(len(lens), max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, side="right")) - 1))
+        yield ids[offs[lo] : offs[hi]], lens[lo:hi]
+        lo = hi
+
+
 def _learned(corpus: DataFrame, model: dict, code: attention.Codes, end: int) -> dict:
     """The average of what learners make of ``model``, each from its lesson."""
-    spark = corpus.sparkSession
-    total = corpus.agg(F.sum("lesson_ids")).first()[0] or 0
-    if not total:
+    spark, size = corpus.sparkSession, LESSON
+    if not corpus.agg(F.sum("lesson_ids")).first()[0]:
         return model
     sent = spark.sparkContext.broadcast((model, code))  # of fixed size
 
     def lessons(batches):
-        parts = [_open(raw) for batch in batches for raw in batch.column(0).to_pylist()]
-        parts = [(i, o) for i, o in parts if len(o) > 1]
-        if not parts:
-            return
-        ids = np.concatenate([i for i, _ in parts]).astype(np.int64)
-        offs = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]
         start, code = sent.value
-        own = {k: v.copy() for k, v in start.items()}
-        n = len(ids) + len(offs) - 1
-        attention.train(own, code, ids, offs, end, n, RATES[1])
-        flat = _flat(own).astype(np.float64) * n
-        for k in range(0, len(flat), CHUNK):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "n": pa.array([n], pa.int64()), "part": pa.array([flat[k : k + CHUNK].tobytes()], pa.binary())})
+        held, room, total, seen = [], 0, 0.0, 0
+
+        def taught():
+            own = {k: v.copy() for k, v in start.items()}
+            ids = np.concatenate([i for i, _ in held]).astype(np.int64)
+            offs = np.r_[0, np.cumsum(np.concatenate([n for _, n in held]))]
+            attention.train(own, code, ids, offs, end, room, RATES[1], together=TOGETHER)
+            return _flat(own).astype(np.float64) * room
+
+        for batch in batches:
+            for raw in batch.column(0):
+                for ids, lens in _lessons_of(raw.as_py(), size):
+                    n = len(ids) + len(lens)
+                    if held and room + n > size:
+                        total, seen, held, room = total + taught(), seen + room, [], 0
+                    held.append((ids, lens))
+                    room += n
+        if held:
+            total, seen = total + taught(), seen + room
+        if seen:
+            for k in range(0, len(total), CHUNK):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k // CHUNK], pa.int32()), "n": pa.array([seen], pa.int64()), "part": pa.array([total[k : k + CHUNK].tobytes()], pa.binary())})
 
     def added(batches):
         now, total, n = None, None, 0
@@ -225,8 +246,7 @@ def _learned(corpus: DataFrame, model: dict, code: attention.Codes, end: int) ->
         if now is not None:
             yield _sum(now, n, total)
 
-    rows = corpus.where("lesson_ids > 0").select("lesson").repartition(max(1, round(total / LESSON)))
-    made = store.written(rows.mapInArrow(lessons, "chunk int, n long, part binary"))
+    made = store.written(corpus.where("lesson_ids > 0").select("payload").mapInArrow(lessons, "chunk int, n long, part binary"))
     sums = made.repartition("chunk").sortWithinPartitions("chunk", "n").mapInArrow(added, "chunk int, n long, part binary").collect()  # one model
     flat = np.concatenate([np.frombuffer(r.part) / r.n for r in sorted(sums, key=lambda r: r.chunk)])
     return _shaped(flat, model)
@@ -248,7 +268,8 @@ def learn(corpus: DataFrame, end: int) -> tuple[dict, attention.Codes]:
     if primer:
         ids = np.concatenate([i for i, _ in primer]).astype(np.int64)
         offs = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in primer]))]
-        attention.train(model, code, ids, offs, end, min(POSITIONS, EPOCHS * len(ids)), RATES[0])
+        n = len(ids) + len(offs) - 1
+        attention.train(model, code, ids, offs, end, max(n, min(POSITIONS, EPOCHS * n)), RATES[0])
     return _learned(corpus, model, code, end), code
 
 

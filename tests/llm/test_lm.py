@@ -78,6 +78,29 @@ def test_lessons_are_learned_from_and_help(spark, monkeypatch):
     assert learned > attention.Scorer(alone, code).score(flat, offs, end).sum()
 
 
+def test_every_training_text_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PRIMER", 100_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    end = units.encoder(TOKENIZER).tokenizer.get_vocab_size()
+    corpus = lm.read_corpus(docs, TOKENIZER, 20_000)
+    met = []
+    for r in corpus.collect():
+        counted = np.frombuffer(r.id_counts, np.int64).sum()  # of all training texts, their ends included
+        ids, offs = lm._open(r.primer)
+        parts = list(lm._lessons_of(r.payload, 3000))
+        assert r.lesson_ids == sum(len(i) + len(n) for i, n in parts)
+        assert counted == len(ids) + len(offs) - 1 + r.lesson_ids
+        assert all(len(n) == 1 or len(i) <= 3000 for i, n in parts)
+        met.append(r.lesson_ids)
+    assert sum(met) > 0
+    seen, train = [], attention.train
+    monkeypatch.setattr(attention, "train", lambda model, code, ids, offs, end, tokens, *a, **k: seen.append(tokens - len(ids) - len(offs) + 1) or train(model, code, ids, offs, end, 1, *a, **k))
+    monkeypatch.setattr(lm, "POSITIONS", 10)
+    monkeypatch.setattr(lm, "_learned", lambda corpus, model, *_: model)
+    lm.learn(corpus, end)
+    assert seen == [0]  # the primer is met once at least
+
+
 # --- the model -----------------------------------------------------------------------------
 def small(seed=3):
     rng = np.random.default_rng(seed)
