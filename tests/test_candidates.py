@@ -78,3 +78,23 @@ def test_the_best_of_a_long_menu(spark):
             got.setdefault(r.suspect_span, []).append(r.candidate)
         assert got == {"甲乙": [r.term for r in best[40 : 40 + k]], "丙丁": [r.term for r in best[:k]]}
     assert C.bonus_only(spans, cands, hints).count() == 300 + 260
+
+
+def test_pieces_of_many_pages_are_handed_on_in_parts():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    word = lambda i: "".join(chr(0x4E00 + (i * k) % 977) for k in (3, 5, 7, 11))
+    texts = [" ".join(word(i * 13 + j) for j in range(60)) for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"note_id": list(range(3000)), "page": [1] * 3000, "text": texts})
+    sent = types.SimpleNamespace(value=np.full(1 << M.FILTER_BITS >> 3, 255, np.uint8).tobytes())  # rules nothing out
+    got, largest = 0, 0
+    for part in M._pieces(sent, [2, 4])(iter([batch])):
+        largest = max(largest, len(part))
+        rows = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True))
+        assert all(f in texts[i] for i, f in rows) and len(set(rows)) == len(rows)
+        got += len(rows)
+    assert got == sum(len({t[k : k + n] for k in range(len(t) - n + 1)}) for t in texts for n in (2, 4))
+    assert largest < got / 3
