@@ -35,7 +35,7 @@ def csv_lines(records, headers):
     heads = spark.createDataFrame([(f, -7, h) for f, h in headers.items()], "file string, ord long, text string")
     lines = unfolded(heads.unionByName(records), ["file", "ord"], F.split("text", "\n", -1), "value", "pos")
     cut = ((F.pmod("ord", F.lit(7)) == 6) & (F.col("pos") >= 2)).cast("long")
-    return lines.select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value")
+    return written(lines.select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value"))  # a table of lines, as a scan gives them
 
 
 # --- logs ---------------------------------------------------------------------------------
@@ -152,13 +152,13 @@ def _json_pieces(spark, sf):
     c = _correction_rows(spark, sf)
     i = F.col("ord")
     item = F.to_json(F.struct(*[n for n in c.columns if n not in ("ord", "span_id")], F.col("span_id").alias("spanId"), F.struct(F.lit('}"]{').alias("x"), F.struct(F.lit(1).alias("z")).alias("y")).alias("more")))
-    item = F.when(i % 40 == 7, F.replace(item, F.lit('"page":'), F.lit('"page" '))).otherwise(item)
-    text = F.concat(F.when(i < 2, F.lit("[ ")).otherwise(F.lit(" ,\n")), item)
-    parts = F.split(text, "}", -1)
-    rows = unfolded(c, [(i % 2).cast("string").alias("file"), "ord"], F.slice(parts, F.lit(1), F.size(parts) - 1), "value", "pos")
+    # column by column: an expression inside another's arguments is evaluated for each of them
+    c = c.withColumn("_item", item).withColumn("_item", F.when(i % 40 == 7, F.replace("_item", F.lit('"page":'), F.lit('"page" '))).otherwise(F.col("_item")))
+    c = c.withColumn("_parts", F.split(F.concat(F.when(i < 2, F.lit("[ ")).otherwise(F.lit(" ,\n")), "_item"), "}", -1))
+    rows = unfolded(c, [(i % 2).cast("string").alias("file"), "ord"], F.slice("_parts", F.lit(1), F.size("_parts") - 1), "value", "pos")
     ends = c.groupBy((i % 2).cast("string").alias("file")).agg((F.max("ord") + 2).alias("ord")).select("file", "ord", F.lit(0).alias("pos"), F.lit("]\n").alias("value"))
     cut = ((F.pmod("ord", F.lit(7)) == 6) & (F.col("pos") >= 2)).cast("long")
-    return rows.unionByName(ends).select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value")
+    return written(rows.unionByName(ends).select("file", (F.floor(F.col("ord") / 7) * 2 + cut).alias("stretch"), (F.shiftleft("ord", 32) + F.col("pos")).alias("at"), "value"))  # a table of pieces, as a scan gives them
 
 
 @query("parse_corrections_json", f"WITH {_CORR} {_CORR_OUT.format('original')} WHERE ord % 40 <> 7")

@@ -1,10 +1,10 @@
 """Records that go over line ends, cut in parallel: quoted CSV and the elements of JSON arrays.
 
-Text comes in pieces (file, stretch, at, value): (stretch, at) orders the pieces of a file, and a stretch is what one task
-holds in order, such as a split. What a piece means depends on the state before it (inside quotes or not), which all earlier pieces of the
+Text comes in pieces (file, stretch, at, value): (stretch, at) orders the pieces of a file. They are first laid out anew, in ranges of that order: a stretch is
+then what one task holds of a file, so there are few, however the text came. What a piece means depends on the state before it (inside quotes or not), which all earlier pieces of the
 file decide. Each piece gives the state after it for either state before it. Such functions compose: the state is that of the
 last piece whose answer is the same for both, changed by the swaps since. They are composed along each stretch first, then over one
-row a stretch of the file, so no file is read by one task.
+row a stretch of the file, so no file is read by one task. What is found along the stretches is written, for either state at their start, so no step works out an earlier one again.
 """
 
 from __future__ import annotations
@@ -34,24 +34,21 @@ def _composed(rows: DataFrame, part: list[str], order: str, keep: str = "") -> D
     return rows.withColumn("out_", state(False)).withColumn("in_", state(True)).drop("_swaps", "_sure", "_met")
 
 
-def _stated(pieces: DataFrame) -> DataFrame:
-    """``pieces`` (with if_out, if_in) with ``inside``, the state before each; a file begins outside."""
-    local = _composed(pieces, _STRETCH, "at")
-    after = lambda before: F.when(F.col(before), F.col("if_in")).otherwise(F.col("if_out"))
-    ends = local.groupBy(*_STRETCH).agg(F.max_by(after("out_"), "at").alias("if_out"), F.max_by(after("in_"), "at").alias("if_in"))
-    starts = _composed(ends, _FILE, "stretch").select(*_STRETCH, F.col("out_").alias("_start"))
-    return local.join(starts, _STRETCH).withColumn("inside", F.when(F.col("_start"), F.col("in_")).otherwise(F.col("out_"))).drop("out_", "in_", "_start")
+def _laid(pieces: DataFrame) -> DataFrame:
+    """``pieces`` in ranges of their order, written: a stretch is a range, along which ``at`` rises by one."""
+    keys = ["file", "stretch", "at"]
+    rows = pieces.select(*keys, "value").repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return numbering.written(rows.select("file", F.spark_partition_id().cast("long").alias("stretch"), F.monotonically_increasing_id().alias("at"), "value"))
+
 
+def _earlier(value: Column) -> Column:
+    """The sum of ``value`` over the earlier pieces of the stretch."""
+    return F.coalesce(F.sum(value.cast("long")).over(Window.partitionBy(*_STRETCH).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-def _summed(rows: DataFrame, value: Column, name: str) -> DataFrame:
-    """``rows`` with the sum of ``value`` over all earlier pieces of the file."""
-    earlier = Window.partitionBy(*_STRETCH).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_v", value.cast("long"))
-    local = rows.withColumn("_own", F.coalesce(F.sum("_v").over(earlier), F.lit(0)))
-    totals = rows.groupBy(*_STRETCH).agg(F.sum("_v").alias("_all"))
-    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*_STRETCH, F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_earlier"))
-    return local.join(starts, _STRETCH).withColumn(name, F.col("_own") + F.col("_earlier")).drop("_v", "_own", "_earlier")
+
+def _before():
+    """The earlier stretches of the file."""
+    return Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
 
 
 # --- CSV ----------------------------------------------------------------------------------
@@ -96,16 +93,22 @@ def csv_records(lines: DataFrame) -> DataFrame:
     Lines of a record are joined by their line ends again; blank lines between records are left out. A record of one line, as
     nearly all are, is never grouped.
     """
-    rows = _stated(_quote_states(lines))
-    counts = rows.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(~F.col("inside"), F.col("at"))).alias("_last"))
-    # what a stretch finds before it: lines, and the place of the last line that begins a record
-    before = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.when(F.col("_last").isNotNull(), F.struct("stretch", F.col("_last").alias("at")))
-    starts = counts.select(*_STRETCH, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_lines"), F.last(opened, ignorenulls=True).over(before).alias("_open"))
     upto = Window.partitionBy(*_STRETCH).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begun = F.last(F.when(~F.col("inside"), F.struct("stretch", "at")), ignorenulls=True).over(upto)
-    placed = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*_STRETCH).orderBy("at"))).withColumn("_own", begun).join(starts, _STRETCH)
-    placed = placed.withColumn("line", F.col("_lines") + F.col("_row")).withColumn("record", F.coalesce("_own", "_open"))
+    begun = lambda inside: F.max(F.when(~F.col(inside), F.col("at"))).over(upto)
+    local = _composed(_quote_states(_laid(lines)), _STRETCH, "at").withColumn("_row", F.row_number().over(Window.partitionBy(*_STRETCH).orderBy("at")))
+    local = numbering.written(local.withColumn("_begun_out", begun("out_")).withColumn("_begun_in", begun("in_")))
+    after = lambda before: F.when(F.col(before), F.col("if_in")).otherwise(F.col("if_out"))
+    ends = local.groupBy(*_STRETCH).agg(
+        F.max_by(after("out_"), "at").alias("if_out"), F.max_by(after("in_"), "at").alias("if_in"), F.count(F.lit(1)).alias("n"),
+        F.max("_begun_out").alias("_last_out"), F.max("_begun_in").alias("_last_in"))
+    # what a stretch finds before it: the state, lines, and the place of the last line that begins a record
+    starts = _composed(ends, _FILE, "stretch").withColumn("_start", F.col("out_"))
+    own = lambda name: F.when(F.col("_start"), F.col(f"{name}in")).otherwise(F.col(f"{name}out"))
+    opened = F.when(own("_last_").isNotNull(), F.struct("stretch", own("_last_").alias("at")))
+    starts = starts.select(*_STRETCH, "_start", F.coalesce(F.sum("n").over(_before()), F.lit(0)).alias("_lines"), F.last(opened, ignorenulls=True).over(_before()).alias("_open"))
+    placed = local.join(numbering.written(starts), _STRETCH).withColumn("inside", F.when(F.col("_start"), F.col("in_")).otherwise(F.col("out_")))
+    placed = placed.withColumn("line", F.col("_lines") + F.col("_row"))
+    placed = placed.withColumn("record", F.coalesce(F.when(own("_begun_").isNotNull(), F.struct("stretch", own("_begun_").alias("at"))), "_open"))
     whole = ~F.col("inside") & ~F.col("if_out")
     single = placed.where(whole & (F.rtrim("value") != "")).select("file", "stretch", "line", "value")
     parts = placed.where(~whole).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("p"))
@@ -164,19 +167,32 @@ def json_elements(pieces: DataFrame) -> DataFrame:
     A closing brace, which ends every piece, is part of an object or stands in a string; the quotes of earlier pieces tell which, and the
     braces and brackets of earlier pieces how deep it is. An object of the array ends where the depth comes back to the array's.
     """
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    odd = F.length(F.regexp_replace(bare, '[^"]', "")) % 2 == 1
-    rows = _stated(pieces.select("file", "stretch", "at", "value").withColumn("if_out", odd).withColumn("if_in", ~odd))
-    # outside of strings: from the first quote on if it begins in one, then without strings
-    out = F.when(F.col("inside"), F.when(F.contains(bare, F.lit('"')), F.regexp_replace(bare, '\\A[^"]*+"', "")).otherwise("")).otherwise(bare)
-    out = F.regexp_replace(out, '"[^"]*+"?', "")
-    ends_in = F.when(F.col("inside"), F.col("if_in")).otherwise(F.col("if_out"))
-    count = lambda c: F.length(F.regexp_replace(F.col("_out"), f"[^{c}]", ""))
-    rows = rows.withColumn("_out", out).withColumn("_closes", ~ends_in)
-    rows = rows.withColumn("_delta", count("{\\[") - count("}\\]") - F.col("_closes").cast("int"))
-    rows = _summed(rows, F.col("_delta"), "_depth")
-    rows = rows.withColumn("_ends", F.col("_closes") & (F.col("_depth") + F.col("_delta") == 1))
-    rows = _summed(rows, F.col("_ends"), "_before").withColumn("element", F.col("_before") + 1)
+    rows = _laid(pieces).withColumn("_bare", F.regexp_replace("value", r"(?s)\\.", ""))
+    # outside of strings: without strings, and from the first quote on if it begins in one
+    strings = '"[^"]*"?'
+    rest = F.when(F.contains("_bare", F.lit('"')), F.regexp_replace("_bare", '\\A[^"]*+"', "")).otherwise("")
+    rows = rows.withColumn("_out", F.regexp_replace("_bare", strings, "")).withColumn("_in", F.regexp_replace(rest, strings, ""))
+    count = lambda name, c: F.length(F.regexp_replace(name, f"[^{c}]", ""))
+    net = lambda name: count(name, "{\\[") - count(name, "}\\]")
+    odd = F.length(F.regexp_replace("_bare", '[^"]', "")) % 2 == 1
+    rows = rows.select(*_STRETCH, "at", "value", odd.alias("_odd"), net("_out").alias("_net_out"), net("_in").alias("_net_in"))
+    # along a stretch, for either state at its start
+    rows = rows.withColumn("_swapped", _earlier(F.col("_odd")) % 2 == 1)
+    closes = lambda inside: F.when(inside, F.col("_odd")).otherwise(~F.col("_odd"))
+    delta = lambda inside: F.when(inside, F.col("_net_in")).otherwise(F.col("_net_out")) - closes(inside).cast("int")
+    rows = rows.withColumn("_delta_out", delta(F.col("_swapped"))).withColumn("_delta_in", delta(~F.col("_swapped")))
+    rows = rows.withColumn("_depth_out", _earlier(F.col("_delta_out"))).withColumn("_depth_in", _earlier(F.col("_delta_in")))
+    local = numbering.written(rows.drop("_net_out", "_net_in"))
+    totals = local.groupBy(*_STRETCH).agg(F.sum(F.col("_odd").cast("int")).alias("odd"), F.sum("_delta_out").alias("delta_out"), F.sum("_delta_in").alias("delta_in"))
+    own = lambda name: F.when(F.col("_start"), F.col(f"{name}in")).otherwise(F.col(f"{name}out"))
+    starts = totals.withColumn("_start", F.coalesce(F.sum("odd").over(_before()), F.lit(0)) % 2 == 1)
+    starts = starts.select(*_STRETCH, "_start", F.coalesce(F.sum(own("delta_")).over(_before()), F.lit(0)).alias("_above"))
+    rows = local.join(numbering.written(starts), _STRETCH)
+    rows = rows.withColumn("_depth", F.col("_above") + own("_depth_")).withColumn("_ends", closes(F.col("_swapped") != F.col("_start")) & (F.col("_depth") + own("_delta_") == 1))
+    rows = numbering.written(rows.select(*_STRETCH, "at", "value", "_depth", "_ends", _earlier(F.col("_ends")).alias("_before")))
+    ended = rows.groupBy(*_STRETCH).agg(F.sum(F.col("_ends").cast("long")).alias("n"))
+    ended = numbering.written(ended.select(*_STRETCH, F.coalesce(F.sum("n").over(_before()), F.lit(0)).alias("_earlier")))
+    rows = rows.join(ended, _STRETCH).withColumn("element", F.col("_earlier") + F.col("_before") + 1)
     alone = F.col("_ends") & (F.col("_depth") <= 1)
     single = rows.where(alone).select("file", "element", F.concat("value", F.lit("}")).alias("text"), F.lit(True).alias("whole"))
     parts = rows.where(~alone).groupBy("file", "element").agg(

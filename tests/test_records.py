@@ -116,3 +116,36 @@ def test_broken_elements_go_aside(spark, tmp):
     assert set(bad) == {2, 3, 4} and "tru" in bad[2] and bad[3].startswith("5") and bad[4].startswith('{"doc_id":"c"')
     put(f"{tmp}/e.json", " [ ] \n")
     assert logs.scan_corrections(spark, f"{tmp}/e.json").count() == 0 == logs.broken_corrections(spark, f"{tmp}/e.json").count()
+
+
+def counted(spark, df):
+    """``df`` and an accumulator of how often its rows are worked out."""
+    met = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    return df.mapInArrow(run, df.schema), met
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_pieces_are_worked_out_twice_at_most(spark, kind):
+    value = "concat(if(id = 0, '[', ','), '{\"page\":', id, '')" if kind == "json" else "concat(id, ',\"a b\"')"
+    rows = spark.range(300).selectExpr("'f' AS file", "id AS stretch", "id AS at", f"{value} AS value")  # a stretch for each piece
+    pieces, met = counted(spark, rows)
+    out = records.json_elements(pieces) if kind == "json" else records.csv_records(pieces)
+    assert out.count() == 300
+    assert met.value <= 600  # once for the ranges, once to lay them out
+
+
+def test_notes_are_worked_out_twice_for_their_images(spark):
+    from inkfold.sources import notes as N
+
+    rows = spark.range(60).selectExpr("id AS note_id", "concat('n', id) AS name", "if(id % 2 = 0, concat('![[p', id, '.jpg]]'), 'x') AS md")
+    images = spark.range(60).selectExpr("if(id % 2 = 0, concat('p', id, '.jpg'), concat('n', id, '.png')) AS image_name").selectExpr("image_name", "concat('i/', image_name) AS image_path")
+    notes, met = counted(spark, rows)
+    got = {r.note_id: r.image_path for r in N.resolve_images(notes, images).collect()}
+    assert got == {i: f"i/p{i}.jpg" if i % 2 == 0 else f"i/n{i}.png" for i in range(60)}
+    assert met.value <= 120
