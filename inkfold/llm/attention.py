@@ -70,33 +70,35 @@ _DISTANCE = np.maximum(np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :], 0)
 _SEEN = (np.arange(WIDTH)[:, None] >= np.arange(WIDTH)[None, :]).astype(f4)
 
 
-def hidden(model, now: np.ndarray, last: np.ndarray, keep: dict | None = None) -> np.ndarray:
-    """Vectors (windows, positions, DIM) of rows of ids and of the ids before them; ``keep`` gets what the gradients need."""
-    shape = (*now.shape, DIM)
+_ONES = np.ones((WIDTH, 1), f4)
+
+
+def hidden(model, now: np.ndarray, last: np.ndarray, keep: dict) -> np.ndarray:
+    """Vectors of rows of ids and of the ids before them, a row for each position; ``keep`` gets what the gradients need."""
     h = np.take(model["now"], now.ravel(), axis=0)
     h += np.take(model["last"], last.ravel(), axis=0)
-    q, k, v = ((h @ model[x]).reshape(shape) for x in ("q", "k", "v"))
+    q, k, v = ((h @ model[x]).reshape(*now.shape, DIM) for x in ("q", "k", "v"))
     a = np.matmul(q, k.transpose(0, 2, 1))
     a *= f4(DIM**-0.5)
     a += model["far"][_DISTANCE]
     np.clip(a, -40, 40, out=a)
     np.exp(a, out=a)
     a *= _SEEN
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(*now.shape, 1)
     met = np.matmul(a, v).reshape(-1, DIM)
     h1 = h + met @ model["o"]
     z = h1 @ model["in"]
     z += model["shift"]
     np.maximum(z, 0, out=z)
-    h2 = (h1 + z @ model["out"]).reshape(shape)
-    if keep is not None:
-        keep.update(h=h, q=q, k=k, v=v, a=a, met=met, h1=h1, z=z)
-    return h2
+    keep.update(h=h, q=q, k=k, v=v, a=a, met=met, h1=h1, z=z)
+    return h1 + z @ model["out"]
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=0)
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    np.minimum(x, 80, out=x)
     np.exp(x, out=x)
+    x /= x @ np.ones((x.shape[1], 1), x.dtype) + f4(1e-37)
     return x
 
 
@@ -184,17 +186,21 @@ def line(ids: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
     return out, at
 
 
+def _cut(whole: np.ndarray, at: np.ndarray, text: np.ndarray, first: np.ndarray, scored: np.ndarray, stop: np.ndarray) -> tuple:
+    """(inputs, ids before them, targets, mask of scored positions) of these windows."""
+    place = first[:, None] + np.arange(WIDTH)
+    on = (place >= scored[:, None]) & (place < stop[:, None])
+    where = np.minimum(at[text][:, None] + place, len(whole) - 2)
+    return whole[where], whole[np.where(place > 0, where - 1, where)], whole[where + 1], on
+
+
 def batches(ids: np.ndarray, offs: np.ndarray, end: int, together: int = TOGETHER):
     """(text, inputs, ids before them, targets, mask of scored positions) of the windows of these texts."""
     whole, at = line(ids, offs, end)
-    text, first, scored, stop = windows(np.diff(offs) + 1)
-    steps = np.arange(WIDTH)
-    for a in range(0, len(text), together):
-        t = text[a : a + together]
-        place = first[a : a + together, None] + steps
-        on = (place >= scored[a : a + together, None]) & (place < stop[a : a + together, None])
-        where = np.minimum(at[t][:, None] + place, len(whole) - 2)
-        yield t, whole[where], whole[np.where(place > 0, where - 1, where)], whole[where + 1], on
+    found = windows(np.diff(offs) + 1)
+    for a in range(0, len(found[0]), together):
+        some = [x[a : a + together] for x in found]
+        yield some[0], *_cut(whole, at, *some)
 
 
 def gradients(model, code: Codes, now: np.ndarray, last: np.ndarray, then: np.ndarray, on: np.ndarray) -> tuple[float, dict, dict]:
@@ -202,54 +208,64 @@ def gradients(model, code: Codes, now: np.ndarray, last: np.ndarray, then: np.nd
     kept: dict = {}
     n1, n0 = code.row[now], code.row[last]
     h2 = hidden(model, n1, n0, kept)
-    h, ids = h2[on], then[on]
+    at = np.flatnonzero(on)
+    ids = then.ravel()[at]
     n = max(1, len(ids))
-    kind, place = code.kind[ids], code.place[ids]
+    # positions in the order of their classes, so that all places are one array
+    order = np.argsort(code.kind[ids].astype(np.uint8), kind="stable")
+    at, ids = at[order], ids[order]
+    kind, h, each = code.kind[ids], np.ones((len(ids), DIM + 1), h2.dtype), np.arange(len(ids))
+    np.take(h2, at, axis=0, out=h[:, :DIM])
+    edge = np.searchsorted(kind, np.arange(CLASSES)).tolist()
+    own = code.place[ids[: edge[-1]]]
     g: dict = {}
-    x = _softmax(model["class"].T @ h.T + model["class0"][:, None])
-    x /= x.sum(axis=0)
-    loss = -np.log(x[kind, np.arange(len(ids))] + 1e-30).sum() - code.rare[ids].sum()
-    x[kind, np.arange(len(ids))] -= 1
+    x = _shares(h @ np.concatenate([model["class"], model["class0"][None]]))
+    loss = -np.log(x[each, kind] + 1e-30).sum() - code.rare[ids].sum()
+    x[each, kind] -= 1
     x /= n
-    g["class"], g["class0"] = h.T @ x.T, x.sum(axis=1)
-    back = x.T @ model["class"].T
-    g["place"], g["place0"] = np.zeros_like(model["place"]), np.zeros_like(model["place0"])
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(CLASSES))
-    for c, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-        if a < b:
-            at = order[a:b]
-            y = _softmax(model["place"][c].T @ h[at].T + model["place0"][c][:, None])
-            y /= y.sum(axis=0)
-            loss -= np.log(y[place[at], np.arange(b - a)] + 1e-30).sum()
-            y[place[at], np.arange(b - a)] -= 1
-            y /= n
-            g["place"][c], g["place0"][c] = h[at].T @ y.T, y.sum(axis=1)
-            back[at] += y.T @ model["place"][c].T
-    d2 = np.zeros_like(h2)
-    d2[on] = back
+    both = h.T @ x
+    g["class"], g["class0"] = both[:DIM], both[DIM]
+    back = x @ model["class"].T
+    places = np.concatenate([model["place"], model["place0"][:, None, :]], axis=1)
+    both, y = np.zeros_like(places), np.empty((edge[-1], PLACES), h2.dtype)
+    parts = [(c, a, b) for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
+    for c, a, b in parts:
+        np.matmul(h[a:b], places[c], out=y[a:b])
+    _shares(y)
+    loss -= np.log(y[each[: len(y)], own] + 1e-30).sum()
+    y[each[: len(y)], own] -= 1
+    y /= n
+    for c, a, b in parts:
+        np.matmul(h[a:b].T, y[a:b], out=both[c])
+        back[a:b] += y[a:b] @ model["place"][c].T
+    g["place"], g["place0"] = both[:, :DIM], both[:, DIM]
+    d2, shape = np.zeros_like(h2), (*now.shape, DIM)
+    d2[at] = back
     # rows of one position each, so that a product is one call
-    d2, shape = d2.reshape(-1, DIM), h2.shape
     z, h1, a, v, q, k, met, h0 = (kept[i] for i in ("z", "h1", "a", "v", "q", "k", "met", "h"))
-    dz = (d2 @ model["out"].T) * (z > 0)
+    dz = d2 @ model["out"].T
+    dz *= z > 0
     g["out"], g["in"], g["shift"] = z.T @ d2, h1.T @ dz, dz.sum(axis=0)
     d1 = d2 + dz @ model["in"].T
     g["o"] = met.T @ d1
-    dmet = (d1 @ model["o"].T).reshape(shape)
-    da = np.matmul(dmet, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dmet).reshape(-1, DIM)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dmet = d1 @ model["o"].T
+    ds = np.matmul(dmet.reshape(shape), v.transpose(0, 2, 1))
+    ds -= np.einsum("ij,ij->i", dmet, met).reshape(*now.shape, 1)
+    ds *= a
     g["far"] = np.bincount(_DISTANCE.ravel(), (ds.sum(axis=0) * _SEEN).ravel(), WIDTH).astype(f4)
     ds *= f4(DIM**-0.5)
-    dq, dk = np.matmul(ds, k).reshape(-1, DIM), np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, DIM)
-    d0 = d1 + dq @ model["q"].T + dk @ model["k"].T + dv @ model["v"].T
+    dq, dk, dv = (x.reshape(-1, DIM) for x in (np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dmet.reshape(shape))))
+    d0 = d1 + dq @ model["q"].T
+    d0 += dk @ model["k"].T
+    d0 += dv @ model["v"].T
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = h0.T @ d
     sparse = {}
     for name, rows in (("now", n1.ravel()), ("last", n0.ravel())):
-        order = np.argsort(rows, kind="stable")
-        kinds, at = np.unique(rows[order], return_index=True)
-        sparse[name] = (kinds, np.add.reduceat(d0[order], at, axis=0))
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        sparse[name] = (rows[first], np.add.reduceat(np.take(d0, order, axis=0), first, axis=0))
     return float(loss) / n, g, sparse
 
 
@@ -258,13 +274,15 @@ def train(model, code: Codes, ids: np.ndarray, offs: np.ndarray, end: int, token
     if len(offs) < 2:
         return 0.0
     held = {k: np.full_like(v, 1e-4) for k, v in model.items()}
-    _, now, last, then, on = next(batches(ids, offs, end, 1 << 30))
+    whole, start = line(ids, offs, end)
+    found = windows(np.diff(offs) + 1)
     rng, met, mean = np.random.default_rng(seed), 0, 0.0
     while met < tokens:
-        order = rng.permutation(len(now))
+        order = rng.permutation(len(found[0]))
         for a in range(0, len(order), together):
             at = order[a : a + together]
-            loss, g, sparse = gradients(model, code, now[at], last[at], then[at], on[at])
+            now, last, then, on = _cut(whole, start, *(x[at] for x in found))
+            loss, g, sparse = gradients(model, code, now, last, then, on)
             mean += (loss - mean) * 0.02 if mean else loss
             step = f4(rate * (1 - 0.8 * min(1.0, met / tokens)))
             for k, d in g.items():
@@ -273,7 +291,7 @@ def train(model, code: Codes, ids: np.ndarray, offs: np.ndarray, end: int, token
             for k, (rows, d) in sparse.items():
                 held[k][rows] += d * d
                 model[k][rows] -= step * d / np.sqrt(held[k][rows])
-            met += int(on[at].sum())
+            met += int(on.sum())
             if met >= tokens:
                 break
     return mean

@@ -21,7 +21,7 @@ def pack(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(raw: bytes) -> pa.RecordBatch:
+def unpack(raw: bytes | pa.Buffer) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 

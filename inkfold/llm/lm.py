@@ -138,8 +138,8 @@ def _pairs(corpus: DataFrame, key: str, count: str, keep: list[str]) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for *kept, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+            for *kept, a, b in zip(*batch.columns, strict=True):
+                kept, a, b = [k.as_py() for k in kept], np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
                 for i in range(0, len(a), 1 << 16):
                     part = a[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(part), k)) for k in kept], pa.array(part), pa.array(b[i : i + (1 << 16)])], [*keep, "key", "n"])
@@ -189,7 +189,7 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def _lessons_of(payload: bytes, size: int):
+def _lessons_of(payload: pa.Buffer | bytes, size: int):
     """(ids, lengths) of the lesson texts of a block, in parts of at most ``size`` ids; a longer text is a part of its own."""
     rows = blocks.unpack(payload)
     column, chosen = rows.column(1), rows.column(3).to_numpy() == IN_LESSON
@@ -210,6 +210,7 @@ def _learned(corpus: DataFrame, model: dict, code: attention.Codes, end: int) ->
     sent = spark.sparkContext.broadcast((model, code))  # of fixed size
 
     def lessons(batches):
+        units.release()  # read_corpus was the last to encode
         start, code = sent.value
         held, room, total, seen = [], 0, 0.0, 0
 
@@ -222,7 +223,7 @@ def _learned(corpus: DataFrame, model: dict, code: attention.Codes, end: int) ->
 
         for batch in batches:
             for raw in batch.column(0):
-                for ids, lens in _lessons_of(raw.as_py(), size):
+                for ids, lens in _lessons_of(raw.as_buffer(), size):
                     n = len(ids) + len(lens)
                     if held and room + n > size:
                         total, seen, held, room = total + taught(), seen + room, [], 0
@@ -295,9 +296,10 @@ def score(docs: DataFrame, tokenizer: str, block: int = BLOCK) -> DataFrame:
     sent, name = spark.sparkContext.broadcast(learn(corpus, end)), uuid.uuid4().hex
 
     def run(batches):
+        units.release()
         scorer = _scorer(name, sent)
         for batch in batches:
-            for payload, keys, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for payload, keys, found in (map(pa.BinaryScalar.as_buffer, row) for row in zip(*batch.columns, strict=True)):
                 rows, c = blocks.unpack(payload), np.frombuffer(found, np.int64)
                 log = np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
                 own_end = int(np.searchsorted(np.frombuffer(keys, np.int64), _END))

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -147,6 +148,23 @@ def test_windows_score_each_id_once_as_a_plain_loop_does():
     assert all((s == 1).all() for s in seen)
 
 
+def test_a_lesson_is_not_laid_out_in_windows():
+    model, code, rng = small()
+    ids, offs = rng.integers(0, 2000, 400_000), np.arange(0, 400_001, 1000)
+    tracemalloc.start()
+    attention.train(model, code, ids, offs, len(code.row) - 1, 1, 0.2, together=192)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # windows of the whole lesson took 28 MB
+
+
+def test_encoders_are_released():
+    assert units.encoder(TOKENIZER) is units.encoder(TOKENIZER)
+    units.release()
+    assert not units._ENCODERS
+    assert units.encoder(TOKENIZER).tokenizer.get_vocab_size() > 0
+
+
 def test_probabilities_of_all_ids_sum_to_one():
     model, code, rng = small()
     h = np.c_[rng.normal(size=(1, attention.DIM)), 1].astype(np.float32)
