@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm import blocks, scan, store
@@ -243,17 +243,17 @@ def exact(prints: np.ndarray, made: list[np.ndarray], likeness: float) -> list[t
 
 
 # --- on Spark ---------------------------------------------------------------------------
-def _tiles(rows: DataFrame, key: list[str], counted: DataFrame) -> DataFrame:
-    """``rows`` once for each pair of tiles (i, j) of their group; ``counted`` has the groups' numbers of ``tiles``."""
-    dealt = rows.join(counted, key).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each pair of tiles (i, j) of their group, which has so many ``tiles``."""
+    dealt = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return pairs.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).drop("tile", "other", "tiles")
 
 
-def _once(rows: DataFrame, key: list[str], counted: DataFrame) -> DataFrame:
+def _once(rows: DataFrame) -> DataFrame:
     """``rows`` once, each in its own tile of its group."""
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    return rows.join(counted, key).withColumn("i", own).withColumn("j", own).drop("tiles")
+    return rows.withColumn("i", own).withColumn("j", own).drop("tiles")
 
 
 def _grouped(rows: DataFrame, key: list[str], columns: list[str], link, together: int) -> DataFrame:
@@ -292,12 +292,18 @@ def _prints(rows) -> np.ndarray:
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes that share a key and have close fingerprints; they span the components of all such pairs."""
-    keys = distinct.select("node", F.posexplode("bands").alias("band", "key"))
-    crowded = store.written(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", F.ceil(F.col("m") / F.lit(TILE)).cast("int").alias("tiles")))
-    # keys move without fingerprints; only those of crowded buckets get them
-    met = _tiles(keys.join(crowded.select("band", "key"), ["band", "key"], "left_semi").join(distinct.select("node", "n", "print"), "node"), ["band", "key"], crowded)
-    return _grouped(met, ["band", "key"], ["node", "n", "print"], lambda groups: close([(_prints([r[2] for r in rows]), np.array([r[1] for r in rows])) for rows in groups]), PAIRS)
+    """Links (a, b) between nodes that share a key and have close fingerprints; they span the components of all such pairs.
+
+    Near copies share most of their keys, so many buckets have the same nodes. Such buckets are one, told by their number of nodes and
+    the nodes' hashes, and are compared once; what a collision of hashes brings together is only compared in vain.
+    """
+    keys = distinct.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    same = Window.partitionBy("bucket")
+    # the keys move once, without fingerprints; only nodes of crowded buckets get these
+    crowded = keys.select("node", F.count(F.lit(1)).over(same).alias("m"), F.bit_xor(F.xxhash64("node")).over(same).alias("members")).where("m > 1")
+    dealt = crowded.repartition("node").dropDuplicates(["node", "m", "members"]).join(distinct.select("node", "n", "print"), "node")
+    met = _tiles(dealt.withColumn("tiles", F.ceil(F.col("m") / F.lit(TILE)).cast("int")))
+    return _grouped(met, ["members", "m"], ["node", "n", "print"], lambda groups: close([(_prints([r[2] for r in rows]), np.array([r[1] for r in rows])) for rows in groups]), PAIRS)
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -321,7 +327,7 @@ def links(laid: DataFrame, text: int, distinct: DataFrame, size: int, likeness:
             for raw, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = blocks.unpack(raw).column(text)
                 chosen = rows.take(pa.array([x["row"] for x in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x["root"] for x in found]), pa.array([x["node"] for x in found]), pa.array([x["print"] for x in found], pa.binary()), chosen.cast(pa.string())], ["root", "node", "print", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([x["root"] for x in found]), pa.array([x["node"] for x in found]), pa.array([x["tiles"] for x in found], pa.int32()), pa.array([x["print"] for x in found], pa.binary()), chosen.cast(pa.string())], ["root", "node", "tiles", "print", "text"])
 
     def link(rows):
         data = [(r[2] or "").encode() for r in rows]
@@ -329,9 +335,10 @@ def links(laid: DataFrame, text: int, distinct: DataFrame, size: int, likeness:
         return exact(_prints([r[1] for r in rows]), made, likeness)
 
     def compare(some: DataFrame, dealt) -> DataFrame:
-        wanted = some.groupBy("least.block").agg(F.collect_list(F.struct("least.row", "root", "node", "print")).alias("found"))
-        moved = laid.join(wanted, "block").select("payload", "found").mapInArrow(texts, "root long, node long, print binary, text string")
-        return store.written(_grouped(dealt(moved, ["root"], _sized(some)), ["root"], ["node", "print", "text"], lambda groups: [link(rows) for rows in groups], 1))
+        # the number of tiles goes with the nodes, so that their texts move once
+        wanted = some.join(_sized(some), "root").groupBy("least.block").agg(F.collect_list(F.struct("least.row", "root", "node", "tiles", "print")).alias("found"))
+        moved = laid.join(wanted, "block").select("payload", "found").mapInArrow(texts, "root long, node long, tiles int, print binary, text string")
+        return store.written(_grouped(dealt(moved), ["root"], ["node", "print", "text"], lambda groups: [link(rows) for rows in groups], 1))
 
     def parts(made: DataFrame, some: DataFrame) -> DataFrame:
         """``some`` with ``part``, the component of each node by the links so far."""

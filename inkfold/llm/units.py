@@ -171,7 +171,7 @@ def encoder(path: str) -> Encoder:
 
 
 def release() -> None:
-    """Drop this process's encoders; what they took (about 150 MB) goes back to the system, not only to the process."""
+    """Drop this process's encoders; what they took (about 120 MB) goes back to the system, not only to the process."""
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()

@@ -151,6 +151,32 @@ def test_boilerplate_and_chains_move_few_texts(spark, n):
     assert moved(spark, chain) < 0.05 * n
 
 
+def test_keys_and_texts_move_once(spark, monkeypatch):
+    """Of tables of any size: buckets of the same nodes are met once, keys are shuffled once, and texts once behind their blocks."""
+    handed, grouped = [], shingles._grouped
+    monkeypatch.setattr(shingles, "_grouped", lambda rows, *a: handed.append(rows) or grouped(rows, *a))
+    rng = random.Random(5)
+    rows = []
+    for g in range(40):  # pairs 0.9 alike share about 15 of 24 keys
+        base = [f"g{g}w{k}" for k in range(200)]
+        other = [*base]
+        for k in rng.sample(range(200), 2):
+            other[k] = f"x{g}{k}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = simhash.keep_one(cases.frame(spark, rows)).collect()
+        met, texts = handed
+        assert met.count() == 80
+        plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in handed]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 40
+    assert plans[0].count("Generate posexplode(bands") == 1
+    assert "Join" not in plans[1].split("MapInArrow")[0]
+
+
 def test_own_names_as_columns(spark):
     rows = [(1, "a b c d e f", 1, 2, 3, "x", True), (2, "a b c d e f", 1, 2, 3, "x", True), (3, "other", 1, 2, 3, "x", True)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _h long, block long, node long, payload string, _hit boolean")
