@@ -31,6 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
     """Token pieces of at most ``size`` ids per document, with their rank among the task's pieces of that length."""
 
     def run(batches):
+        units.trim()  # what other stages left in this worker
         enc, task = units.encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         end = np.array([end_id], "<u4")

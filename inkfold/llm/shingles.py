@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkfold.llm import blocks, scan, store
+from inkfold.llm import blocks, scan, store, units
 from inkfold.llm.components import components
 
 BANDS, ROWS = 24, 5
@@ -364,6 +364,7 @@ def keep_one(docs: DataFrame, size: int, likeness: float) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
     def sketched(batches):
+        units.release()
         for batch in batches:
             for block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = blocks.unpack(raw)

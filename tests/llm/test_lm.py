@@ -165,6 +165,19 @@ def test_encoders_are_released():
     assert units.encoder(TOKENIZER).tokenizer.get_vocab_size() > 0
 
 
+def test_freed_memory_goes_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    held = [np.ones(2000, np.uint8) for _ in range(50_000)]
+    last = held[-1]  # keeps the end of the heap in use
+    del held
+    before = resident()
+    units.trim()
+    assert resident() < before - 50 and last.all()
+
+
 def test_probabilities_of_all_ids_sum_to_one():
     model, code, rng = small()
     h = np.c_[rng.normal(size=(1, attention.DIM)), 1].astype(np.float32)
