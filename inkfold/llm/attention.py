@@ -23,6 +23,8 @@ TOGETHER = 256
 #: Part of the rate for the tables that every position uses.
 SLOW = np.float32(0.2)
 f4 = np.float32
+#: More bytes than any array of a step.
+LARGE = 8 << 20
 
 
 @dataclass
@@ -73,33 +75,52 @@ _SEEN = (np.arange(WIDTH)[:, None] >= np.arange(WIDTH)[None, :]).astype(f4)
 _ONES = np.ones((WIDTH, 1), f4)
 
 
-def hidden(model, now: np.ndarray, last: np.ndarray, keep: dict) -> np.ndarray:
-    """Vectors of rows of ids and of the ids before them, a row for each position; ``keep`` gets what the gradients need."""
+def _bound(x: np.ndarray, high: float, low: float | None = None) -> np.ndarray:
+    """``np.clip`` in place; looking first is many times as fast as clipping, and hardly ever is there anything to clip."""
+    if x.size and (x.max() > high or (low is not None and x.min() < low)):
+        np.clip(x, low, high, out=x)
+    return x
+
+
+def joined(model) -> tuple[np.ndarray, np.ndarray]:
+    """What "q" and "k", and "v" and "o", amount to as one product each: keys and values are then the vectors themselves."""
+    return model["q"] @ model["k"].T * f4(DIM**-0.5), model["v"] @ model["o"]
+
+
+def hidden(model, now: np.ndarray, last: np.ndarray, at: np.ndarray, keep: dict) -> np.ndarray:
+    """Vectors at the places ``at`` of rows of ids and of the ids before them, a one at the end of each; ``keep`` gets what the gradients need."""
+    qk, vo = joined(model)
     h = np.take(model["now"], now.ravel(), axis=0)
     h += np.take(model["last"], last.ravel(), axis=0)
-    q, k, v = ((h @ model[x]).reshape(*now.shape, DIM) for x in ("q", "k", "v"))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a *= f4(DIM**-0.5)
+    line, asked = h.reshape(*now.shape, DIM), (h @ qk).reshape(*now.shape, DIM)
+    a = np.matmul(asked, line.transpose(0, 2, 1))
     a += model["far"][_DISTANCE]
-    np.clip(a, -40, 40, out=a)
-    np.exp(a, out=a)
+    np.exp(_bound(a, 40, -40), out=a)
     a *= _SEEN
     a /= (a.reshape(-1, WIDTH) @ _ONES).reshape(*now.shape, 1)
-    met = np.matmul(a, v).reshape(-1, DIM)
-    h1 = h + met @ model["o"]
+    met = np.matmul(a, line).reshape(-1, DIM)
+    # what follows is done for each position by itself
+    own = np.take(met, at, axis=0)
+    h1 = np.take(h, at, axis=0)
+    h1 += own @ vo
     z = h1 @ model["in"]
     z += model["shift"]
     np.maximum(z, 0, out=z)
-    keep.update(h=h, q=q, k=k, v=v, a=a, met=met, h1=h1, z=z)
-    return h1 + z @ model["out"]
+    out = np.ones((len(at), DIM + 1), h.dtype)
+    np.add(h1, z @ model["out"], out=out[:, :DIM])
+    keep.update(h=h, qk=qk, vo=vo, asked=asked, a=a, met=met, own=own, h1=h1, z=z)
+    return out
 
 
-def _shares(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x /= x @ np.ones((x.shape[1], 1), x.dtype) + f4(1e-37)
-    return x
+def _told(x: np.ndarray, own: np.ndarray, n: int) -> float:
+    """The sum of -log softmax of each row of ``x`` at ``own``; ``x`` becomes its gradient, divided by ``n``."""
+    np.exp(_bound(x, 80), out=x)
+    flat, place = x.ravel(), np.arange(len(x)) * x.shape[1] + own
+    total = x @ np.ones((x.shape[1], 1), x.dtype) + f4(1e-37)
+    loss = -np.log(flat.take(place) / total[:, 0] + 1e-30).sum()
+    x *= 1 / (total * x.dtype.type(n))
+    flat[place] -= x.dtype.type(1 / n)
+    return loss
 
 
 class Scorer:
@@ -107,31 +128,34 @@ class Scorer:
 
     def __init__(self, model: dict[str, np.ndarray], code: Codes):
         self.code, self.model = code, model
-        wide = np.concatenate([np.eye(DIM, dtype=f4), model["q"] * f4(DIM**-0.5), model["k"], model["v"]], axis=1)
+        qk, self.vo = joined(model)
+        wide = np.concatenate([np.eye(DIM, dtype=f4), qk], axis=1)
         self.now, self.last = model["now"] @ wide, model["last"] @ wide
         self.far = model["far"][_DISTANCE]
         self.classes = np.concatenate([model["class"], model["class0"][None]])
         self.places = np.concatenate([model["place"], model["place0"][:, None, :]], axis=1)
         self.one, self.each = np.ones((WIDTH, 1), f4), np.ones(PLACES, f4)
 
-    def hidden(self, now: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """As :func:`hidden`, a row for each position, with a one at the end."""
-        m, n = self.model, now.size
+    def hidden(self, now: np.ndarray, last: np.ndarray, at: np.ndarray | None = None, lead: int = 0) -> np.ndarray:
+        """As :func:`hidden`; all places without ``at``. No window has a place before its position ``lead``, so nothing is asked from there."""
+        m = self.model
+        at = np.arange(now.size) if at is None else at
         x = np.take(self.now, now, axis=0)
         x += np.take(self.last, last, axis=0)
-        h, q, k, v = (x[..., i * DIM : (i + 1) * DIM] for i in range(4))
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        a += self.far
-        np.minimum(a, 40, out=a)
-        np.exp(a, out=a)
-        a *= _SEEN
-        met = np.matmul(a, v).reshape(n, DIM)
-        met /= a.reshape(n, WIDTH) @ self.one + f4(1e-30)
-        out = np.ones((n, DIM + 1), f4)
-        h1 = h.reshape(n, DIM) + met @ m["o"]
+        h, asked = x[..., :DIM], x[:, lead:, DIM:]
+        a = np.matmul(asked, h.transpose(0, 2, 1))
+        a += self.far[lead:]
+        np.exp(_bound(a, 40), out=a)
+        a *= _SEEN[lead:]
+        met = np.matmul(a, h).reshape(-1, DIM)
+        met /= a.reshape(-1, WIDTH) @ self.one + f4(1e-30)
+        h, met = np.take(x.reshape(-1, 2 * DIM), at, axis=0)[:, :DIM], np.take(met, at - (at // WIDTH + 1) * lead, axis=0)
+        h1 = met @ self.vo
+        h1 += h
         z = h1 @ m["in"]
         z += m["shift"]
         np.maximum(z, 0, out=z)
+        out = np.ones((len(h1), DIM + 1), f4)
         np.add(h1, z @ m["out"], out=out[:, :DIM])
         return out
 
@@ -152,7 +176,7 @@ class Scorer:
         return got
 
     def _softmax(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
-        np.minimum(x, 80, out=x)
+        _bound(x, 80)
         out = x.ravel().take(np.arange(len(x)) * x.shape[1] + own).astype(np.float64)
         np.exp(x, out=x)
         return out - np.log(x @ self.each + f4(1e-37))
@@ -162,8 +186,7 @@ class Scorer:
         out = np.zeros(len(offs) - 1)
         for text, now, last, then, on in batches(ids, offs, end):
             at = np.flatnonzero(on)
-            h = self.hidden(self.code.row[now], self.code.row[last])
-            got = self.log_probabilities(np.take(h, at, axis=0), then.ravel()[at])
+            got = self.log_probabilities(self.hidden(self.code.row[now], self.code.row[last], at, int(on.any(axis=0).argmax())), then.ravel()[at])
             out += np.bincount(text[at // WIDTH], got, len(out))
         return out / np.log(10)
 
@@ -190,90 +213,99 @@ def _cut(whole: np.ndarray, at: np.ndarray, text: np.ndarray, first: np.ndarray,
     """(inputs, ids before them, targets, mask of scored positions) of these windows."""
     place = first[:, None] + np.arange(WIDTH)
     on = (place >= scored[:, None]) & (place < stop[:, None])
-    where = np.minimum(at[text][:, None] + place, len(whole) - 2)
-    return whole[where], whole[np.where(place > 0, where - 1, where)], whole[where + 1], on
+    # before a text's first end stands the last end of another text
+    seen = whole[np.minimum((at[text] + first)[:, None] + np.arange(-1, WIDTH + 1), len(whole) - 1)]
+    return seen[:, 1:-1], seen[:, :-2], seen[:, 2:], on
 
 
 def batches(ids: np.ndarray, offs: np.ndarray, end: int, together: int = TOGETHER):
     """(text, inputs, ids before them, targets, mask of scored positions) of the windows of these texts."""
     whole, at = line(ids, offs, end)
     found = windows(np.diff(offs) + 1)
-    for a in range(0, len(found[0]), together):
-        some = [x[a : a + together] for x in found]
+    order = np.argsort(found[2] > 0, kind="stable")  # windows that begin a text are scored from their first position on, others later
+    for a in range(0, len(order), together):
+        some = [x[order[a : a + together]] for x in found]
         yield some[0], *_cut(whole, at, *some)
 
 
 def gradients(model, code: Codes, now: np.ndarray, last: np.ndarray, then: np.ndarray, on: np.ndarray) -> tuple[float, dict, dict]:
     """Mean loss of the masked positions, gradients of the small tables, and (rows, gradients) of the input tables."""
     kept: dict = {}
-    n1, n0 = code.row[now], code.row[last]
-    h2 = hidden(model, n1, n0, kept)
+    n1 = code.row[now]
     at = np.flatnonzero(on)
     ids = then.ravel()[at]
     n = max(1, len(ids))
     # positions in the order of their classes, so that all places are one array
     order = np.argsort(code.kind[ids].astype(np.uint8), kind="stable")
     at, ids = at[order], ids[order]
-    kind, h, each = code.kind[ids], np.ones((len(ids), DIM + 1), h2.dtype), np.arange(len(ids))
-    np.take(h2, at, axis=0, out=h[:, :DIM])
+    kind = code.kind[ids]
+    h2 = hidden(model, n1, code.row[last], at, kept)
     edge = np.searchsorted(kind, np.arange(CLASSES)).tolist()
-    own = code.place[ids[: edge[-1]]]
     g: dict = {}
-    x = _shares(h @ np.concatenate([model["class"], model["class0"][None]]))
-    loss = -np.log(x[each, kind] + 1e-30).sum() - code.rare[ids].sum()
-    x[each, kind] -= 1
-    x /= n
-    both = h.T @ x
-    g["class"], g["class0"] = both[:DIM], both[DIM]
+    x = h2 @ np.concatenate([model["class"], model["class0"][None]])
+    loss = _told(x, kind, n) - code.rare[ids[edge[-1] :]].sum()
+    both = x.T @ h2
+    g["class"], g["class0"] = both[:, :DIM].T, both[:, DIM]
     back = x @ model["class"].T
     places = np.concatenate([model["place"], model["place0"][:, None, :]], axis=1)
     both, y = np.zeros_like(places), np.empty((edge[-1], PLACES), h2.dtype)
     parts = [(c, a, b) for c, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < b]
     for c, a, b in parts:
-        np.matmul(h[a:b], places[c], out=y[a:b])
-    _shares(y)
-    loss -= np.log(y[each[: len(y)], own] + 1e-30).sum()
-    y[each[: len(y)], own] -= 1
-    y /= n
+        np.matmul(h2[a:b], places[c], out=y[a:b])
+    loss += _told(y, code.place[ids[: edge[-1]]], n)
     for c, a, b in parts:
-        np.matmul(h[a:b].T, y[a:b], out=both[c])
+        np.matmul(h2[a:b].T, y[a:b], out=both[c])
         back[a:b] += y[a:b] @ model["place"][c].T
     g["place"], g["place0"] = both[:, :DIM], both[:, DIM]
-    d2, shape = np.zeros_like(h2), (*now.shape, DIM)
-    d2[at] = back
-    # rows of one position each, so that a product is one call
-    z, h1, a, v, q, k, met, h0 = (kept[i] for i in ("z", "h1", "a", "v", "q", "k", "met", "h"))
-    dz = d2 @ model["out"].T
+    qk, vo, asked, a, met, own, h1, z, h0 = (kept[i] for i in ("qk", "vo", "asked", "a", "met", "own", "h1", "z", "h"))
+    dz = back @ model["out"].T
     dz *= z > 0
-    g["out"], g["in"], g["shift"] = z.T @ d2, h1.T @ dz, dz.sum(axis=0)
-    d1 = d2 + dz @ model["in"].T
-    g["o"] = met.T @ d1
-    dmet = d1 @ model["o"].T
-    ds = np.matmul(dmet.reshape(shape), v.transpose(0, 2, 1))
-    ds -= np.einsum("ij,ij->i", dmet, met).reshape(*now.shape, 1)
+    g["out"], g["in"], g["shift"] = z.T @ back, (dz.T @ h1).T, np.ones(len(dz), dz.dtype) @ dz
+    d1 = dz @ model["in"].T
+    d1 += back
+    both = own.T @ d1
+    g["v"], g["o"] = both @ model["o"].T, model["v"].T @ both
+    # back to all positions of the windows
+    line, dmet = h0.reshape(*now.shape, DIM), np.zeros_like(met)
+    dmet[at] = d1 @ vo.T
+    ds = np.matmul(dmet.reshape(asked.shape), line.transpose(0, 2, 1))
+    ds -= np.einsum("ij,ij->i", dmet, met).reshape(len(now), -1, 1)
     ds *= a
     g["far"] = np.bincount(_DISTANCE.ravel(), (ds.sum(axis=0) * _SEEN).ravel(), WIDTH).astype(f4)
-    ds *= f4(DIM**-0.5)
-    dq, dk, dv = (x.reshape(-1, DIM) for x in (np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dmet.reshape(shape))))
-    d0 = d1 + dq @ model["q"].T
-    d0 += dk @ model["k"].T
-    d0 += dv @ model["v"].T
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = h0.T @ d
-    sparse = {}
-    for name, rows in (("now", n1.ravel()), ("last", n0.ravel())):
-        order = np.argsort(rows.astype(np.uint16), kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        sparse[name] = (rows[first], np.add.reduceat(np.take(d0, order, axis=0), first, axis=0))
-    return float(loss) / n, g, sparse
+    dq = np.matmul(ds, line).reshape(-1, DIM)
+    d0 = np.matmul(ds.transpose(0, 2, 1), asked)
+    d0 += np.matmul(a.transpose(0, 2, 1), dmet.reshape(asked.shape))
+    d0 += (dq @ qk.T).reshape(asked.shape)
+    d0 = d0.reshape(-1, DIM)
+    d0[at] += d1
+    both = h0.T @ dq * f4(DIM**-0.5)
+    g["q"], g["k"] = both @ model["k"], both.T @ model["q"]
+    # an id is met as the one at a position and as the one before the next: sorted once for both tables
+    rows = np.concatenate([code.row[last[:, :1]], n1], axis=1).ravel()
+    d = np.zeros((len(now), WIDTH + 1, 2 * DIM), h0.dtype)
+    d[:, 1:, :DIM] = d[:, :-1, DIM:] = d0.reshape(line.shape)
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    # as complex numbers, two sums at once
+    d = np.take(d.reshape(-1, 2 * DIM), order, axis=0).view(np.result_type(d, np.complex64))
+    d = np.add.reduceat(d, first, axis=0).view(h0.dtype)
+    return float(loss) / n, g, {"now": (rows[first], d[:, :DIM]), "last": (rows[first], d[:, DIM:])}
 
 
 def train(model, code: Codes, ids: np.ndarray, offs: np.ndarray, end: int, tokens: int, rate: float, seed: int = 0, together: int = 48) -> float:
     """Adagrad over the windows of these texts in random order, until ``tokens`` positions were met; the rate falls to a fifth. The last mean loss."""
     if len(offs) < 2:
         return 0.0
-    held = {k: np.full_like(v, 1e-4) for k, v in model.items()}
+    own, held = model, {k: np.full_like(model[k], 1e-4) for k in ("now", "last")}
+    # the tables that every position uses lie in one array
+    small = [k for k in model if k not in held]
+    edge = np.cumsum([0, *(model[k].size for k in small)])
+    flat = np.concatenate([model[k].ravel() for k in small])
+    model = {k: model[k] for k in held} | {k: flat[a:b].reshape(model[k].shape) for k, a, b in zip(small, edge[:-1], edge[1:], strict=True)}
+    part = np.concatenate([np.full(model[k].size, 1 if k in ("place", "place0") else SLOW, f4) for k in small])
+    size = np.full_like(flat, 1e-4)
+    np.empty(LARGE, np.uint8)  # once so much was freed, malloc keeps what a step frees for the next one
     whole, start = line(ids, offs, end)
     found = windows(np.diff(offs) + 1)
     rng, met, mean = np.random.default_rng(seed), 0, 0.0
@@ -285,13 +317,20 @@ def train(model, code: Codes, ids: np.ndarray, offs: np.ndarray, end: int, token
             loss, g, sparse = gradients(model, code, now, last, then, on)
             mean += (loss - mean) * 0.02 if mean else loss
             step = f4(rate * (1 - 0.8 * min(1.0, met / tokens)))
-            for k, d in g.items():
-                held[k] += d * d
-                model[k] -= (step if k in ("place", "place0") else step * SLOW) * d / np.sqrt(held[k])
+            d = np.concatenate([g[k].ravel() for k in small])
+            size += d * d
+            d /= np.sqrt(size)
+            d *= part
+            d *= step
+            flat -= d
             for k, (rows, d) in sparse.items():
-                held[k][rows] += d * d
-                model[k][rows] -= step * d / np.sqrt(held[k][rows])
+                sums = np.take(held[k], rows, axis=0)
+                sums += d * d
+                held[k][rows] = sums
+                model[k][rows] -= step * d / np.sqrt(sums)
             met += int(on.sum())
             if met >= tokens:
                 break
+    for k in small:
+        own[k][...] = model[k]
     return mean

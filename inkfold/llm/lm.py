@@ -23,7 +23,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.llm import attention, blocks, lexicon, scan, store, units
@@ -148,33 +148,57 @@ def _pairs(corpus: DataFrame, key: str, count: str, keep: list[str]) -> DataFram
 
 
 def word_counts(corpus: DataFrame) -> DataFrame:
-    """(block, found, firsts): the corpus counts of a block's words in their order, and how many known words this block is the first to hold."""
-    same = Window.partitionBy("key")
-    rows = _pairs(corpus, "keys", "counts", ["block"])
-    summed = rows.select("block", "key", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first"))
+    """(block, found, firsts): the corpus counts of a block's words in their order, and how many known words this block is the first to hold.
 
-    def run(batches):
-        now, held, firsts = None, [], 0
-
-        def close():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.concatenate(held).tobytes()], pa.binary()), pa.array([firsts], pa.int64())], ["block", "found", "firsts"])
+    A block's words are in the order of their hashes, so they go in one row for each range of hashes, and come back in one.
+    """
+    ranges = store.ranges_of(corpus.sparkSession)
+    edges = np.array([(k << 64) // ranges - (1 << 63) for k in range(1, ranges)], np.int64)
 
+    def dealt(batches):
         for batch in batches:
-            block, c, first = (np.asarray(x) for x in (batch.column(0), batch.column(1), batch.column(2).cast(pa.int8())))
-            edge = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if a == b:
-                    continue
-                if int(block[a]) != now:
-                    if held:
-                        yield close()
-                    now, held, firsts = int(block[a]), [], 0
-                held.append(c[a:b])
-                firsts += int((first[a:b] * (c[a:b] > 0)).sum())
-        if held:
-            yield close()
-
-    return _bucketed(summed.repartition("block").sortWithinPartitions("block", "key").select("block", "c", "first").mapInArrow(run, "block long, found binary, firsts long"))
+            for block, keys, counts in zip(*batch.columns, strict=True):
+                keys, counts = np.frombuffer(keys.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int64)
+                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                made = [(block.as_py(), r, keys[a:b].tobytes(), counts[a:b].tobytes()) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "range", "keys", "counts"])
+
+    def summed(now, held):
+        held.sort()  # the first of a word's places is the one of its least block
+        lens = [len(k) // 8 for _, k, _ in held]
+        _, first, at = np.unique(np.frombuffer(b"".join(k for _, k, _ in held), np.int64), return_index=True, return_inverse=True)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, at, np.frombuffer(b"".join(c for _, _, c in held), np.int64))
+        edge = np.r_[0, np.cumsum(lens)]
+        firsts = np.bincount(np.searchsorted(edge, first[total > 0], side="right") - 1, minlength=len(held))
+        found = total[at]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b for b, _, _ in held], pa.int64()), pa.array([now] * len(held), pa.int64()), pa.array([found[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array(firsts, pa.int64())],
+            ["block", "range", "found", "firsts"])
+
+    def joined(now, held):
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([b"".join(f for _, f, _ in held)], pa.binary()), pa.array([sum(n for _, _, n in held)], pa.int64())], ["block", "found", "firsts"])
+
+    def runs(close):
+        """Rows of equal first columns, which lie together, to ``close(the value, the other columns)``."""
+
+        def run(batches):
+            now, held = None, []
+            for batch in batches:
+                for key, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key != now and held:
+                        yield close(now, held)
+                        held = []
+                    now = key
+                    held.append(tuple(rest))
+            if held:
+                yield close(now, held)
+
+        return run
+
+    rows = corpus.select("block", "keys", "counts").mapInArrow(dealt, "block long, range long, keys binary, counts binary")
+    by_range = rows.repartition("range").sortWithinPartitions("range").select("range", "block", "keys", "counts").mapInArrow(runs(summed), "block long, range long, found binary, firsts long")
+    return _bucketed(by_range.repartition("block").sortWithinPartitions("block", "range").mapInArrow(runs(joined), "block long, found binary, firsts long"))
 
 
 def _flat(model: dict[str, np.ndarray]) -> np.ndarray:

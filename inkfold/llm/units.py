@@ -106,7 +106,7 @@ class Encoder:
         easy = [i for i, t in enumerate(texts) if self.mark is not None and stop not in t and (u := t.removeprefix(" ")) and " " not in u and u.isprintable() and len(u) < 200]
         for k in range(0, len(easy), 1000):
             part = easy[k : k + 1000]
-            ids = np.array(self.tokenizer.encode(self.between.join([texts[i] for i in part]), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part) - 1:
                 continue
@@ -115,7 +115,7 @@ class Encoder:
         rest = [i for i, x in enumerate(out) if x is None]
         for k in range(0, len(rest), 256):
             part = rest[k : k + 256]
-            for i, e in zip(part, self.tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, self.kind)
         return out
 

@@ -213,3 +213,28 @@ def test_gradients_against_differences():
         down = attention.gradients(model, code, now, last, then, on)[0]
         v[at] = old
         assert abs((up - down) / (2 * step) - g[k][at]) < 1e-4 * max(1, abs(g[k][at])), k
+
+
+def test_only_scored_positions_go_through_the_layers():
+    model, code, rng = small()
+    ids = rng.integers(0, 2000, 200)
+    found = [x for x in attention.batches(ids, np.array([0, 200]), len(code.row) - 1)]
+    for _, now, last, then, on in found:
+        at, kept = np.flatnonzero(on), {}
+        assert len(attention.hidden(model, code.row[now], code.row[last], at, kept)) == len(kept["z"]) == on.sum() < on.size
+        some = attention.Scorer(model, code).hidden(code.row[now], code.row[last], at, int(on.any(axis=0).argmax()))
+        assert np.allclose(some, attention.Scorer(model, code).hidden(code.row[now], code.row[last])[at], atol=1e-5)
+
+
+def test_word_counts_move_in_ranges(spark, monkeypatch):
+    rows = cases.texts()
+    corpus = lm.read_corpus(cases.frame(spark, rows), TOKENIZER, 2000)
+    plain = collections.Counter()
+    for r in corpus.collect():
+        plain.update(dict(zip(np.frombuffer(r["keys"], np.int64).tolist(), np.frombuffer(r["counts"], np.int64).tolist(), strict=True)))
+    monkeypatch.setattr(lm, "_bucketed", lambda df: df)
+    known = lm.word_counts(corpus)
+    assert "Window" not in known._jdf.queryExecution().toString()  # no row a word
+    found = {r.block: np.frombuffer(r.found, np.int64).tolist() for r in known.collect()}
+    assert found == {r.block: [plain[k] for k in np.frombuffer(r["keys"], np.int64).tolist()] for r in corpus.collect()} and len(found) > 2
+    assert sum(r.firsts for r in known.collect()) == sum(n > 0 for n in plain.values())
