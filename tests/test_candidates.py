@@ -98,3 +98,29 @@ def test_pieces_of_many_pages_are_handed_on_in_parts():
         got += len(rows)
     assert got == sum(len({t[k : k + n] for k in range(len(t) - n + 1)}) for t in texts for n in (2, 4))
     assert largest < got / 3
+
+
+def test_bundles_rank_as_rows_do_and_move_once(spark):
+    """Repeated rows, null notes and pages, spans without candidates, candidates of no span: both ways give the same, and bundles take one shuffle."""
+    from inkfold.operators.bundles import bundled
+
+    cand_type = "note_id string, page int, suspect_span string, candidate string, score double, ord long, bonus_only boolean"
+    s = spark.createDataFrame([("n", 1, "甲乙"), ("n", 1, "甲乙"), ("n", 2, "丙丁"), ("n", 1, "あいう"), ("n", None, "甲乙"), (None, 1, "甲乙"), ("m", 1, "x")], "note_id string, page int, suspect_span string")
+    c = spark.createDataFrame(
+        [("n", 1, "甲乙", "三一", 90.0, 1, False), ("n", 1, "甲乙", "三一", 90.0, 1, False), ("n", 1, "甲乙", "三四五六", 20.0, 2, False), ("n", 1, "戊己", "別", None, 3, False),
+         (None, 1, "甲乙", "三一", 5.0, 4, False), ("n", None, "甲乙", "三二", 7.0, 5, False)], cand_type)
+    h = spark.createDataFrame(
+        [("n", t, b, True, g, o) for t, b, g, o in [("三一", 30.0, False, 1), ("三二", 22.0, False, 2), ("三二", 22.0, False, 2), ("三四五六", 21.0, False, 3), ("三", 24.0, True, 4), ("かきく", 28.0, False, None)]]
+        + [(None, "三二", 29.0, True, False, 1)], "note_id string, term string, bonus double, is_proper boolean, is_geo boolean, ord long")
+    for k in (2, 5):
+        for suppress in (False, True):
+            rows = C.hint_boost(c, h).unionByName(C.bonus_only(s, c, h, k=k)).withColumn("ord", F.struct("ord", "candidate"))
+            want = sorted((str(r[:5]) for r in C.rank_candidates(rows, k, suppress, s).select(*C.KEY, "candidate", "rank").collect()))
+            bs, bc, bh = bundled(s), bundled(c), bundled(h)
+            ranked = C.rank_candidates(C.hint_boost(bc, bh), k, suppress, bs, C.bonus_only(bs, bc, bh, k=k))
+            each = ranked.select(*C.KEY, F.posexplode("ranked").alias("i", "x")).select(*C.KEY, "x.candidate", (F.col("i") + 1).alias("rank"))
+            assert sorted(str(r[:5]) for r in each.collect()) == want and len(want) > 5
+            plan = ranked._jdf.queryExecution().sparkPlan().toString()
+            assert plan.count("MapInArrow") == 4 and "Join" not in plan
+    whole = {(r.page, r.suspect_span): [x.candidate for x in r.offer] for r in C.offer_lists(C.bonus_only(bs, bc, bh)).select("note_id", F.explode("members").alias("m"), "offer").select("m.*", "offer").collect()}
+    assert whole == {(1, "甲乙"): ["三二", "三二"], (2, "丙丁"): ["三一", "三二", "三二"], (None, "甲乙"): ["三一", "三二", "三二"], (1, "あいう"): ["かきく"]}
